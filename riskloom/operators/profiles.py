@@ -26,6 +26,11 @@ def _w(keys: Sequence[str], order: Sequence[Column]):
     return W.partitionBy(*keys).orderBy(*order)
 
 
+def _order_key(order: Sequence[str]) -> Column:
+    """Struct that compares like ascending, NULLs last."""
+    return F.struct(*[part for c in order for part in (F.col(c).isNull(), F.col(c))])
+
+
 def _look_back(df: DataFrame, keys, order, ts: str, carried: Sequence[str]) -> DataFrame:
     w = _w(keys, order)
     return df.withColumns({"_prev_ts": F.lag(ts).over(w), **{f"last_{c}": F.lag(c).over(w) for c in carried}})
@@ -111,7 +116,7 @@ def _novelty_hot(df: DataFrame, key: str, order: Sequence[str], values: Sequence
     """First occurrence per (key, value) by a grouped minimum (combines before the shuffle), marked
     on the rows by their unique id, so no task holds all rows of one (key, value)."""
     for v in values:
-        firsts = df.groupBy(key, v).agg(F.min_by("_rid", F.struct(*order, "_rid")).alias("_rid")).select("_rid", F.lit(True).alias(f"{v}_is_new"))
+        firsts = df.groupBy(key, v).agg(F.min_by("_rid", _order_key([*order, "_rid"])).alias("_rid")).select("_rid", F.lit(True).alias(f"{v}_is_new"))
         df = df.join(firsts, "_rid", "left").withColumn(f"{v}_is_new", F.coalesce(f"{v}_is_new", F.lit(False)))
     return df
 
@@ -123,7 +128,7 @@ def as_of_profile(
     """Append the profile as it stood strictly before each event.
 
     ``tx_count, avg_amount, std_dev_amount, tx_last_10min, tx_last_hour, last_<carried>,
-    <known>_is_new`` (the value was not seen before). ``order`` must not contain NULLs beyond the time.
+    <known>_is_new`` (the value was not seen before).
     """
     known = [k for k in known if k in events.columns]
     carried = [c for c in carried if c in events.columns]
@@ -183,7 +188,7 @@ def profile_snapshot(
     known = [k for k in known if k in events.columns]
     full = as_of_profile(events, key, order, amount, ts, known, (), hot_rows)
     value = F.coalesce(F.col(amount).cast("double"), F.lit(0.0))
-    last = F.struct(*order)
+    last = _order_key(order)
     return full.groupBy(key).agg(
         F.count(F.lit(1)).alias("tx_count"), F.avg(value).alias("avg_amount"), F.stddev_pop(value).alias("std_dev_amount"),
         F.max_by("tx_last_10min_after", last).alias("tx_last_10min"), F.max_by("tx_last_hour_after", last).alias("tx_last_hour"),
