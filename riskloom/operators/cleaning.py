@@ -48,9 +48,9 @@ def union_sources(frames: Mapping[str, DataFrame], order: Sequence[str], drop_or
     out = None
     for name in sorted(frames):
         frame = frames[name]
-        frame = frame.toDF(*[
-            new if old not in order else old for old, new in zip(frame.columns, normalize_columns(frame.columns))
-        ])
+        payload = [c for c in frame.columns if c not in order]
+        renamed = dict(zip(payload, normalize_columns(payload)))
+        frame = frame.toDF(*[renamed.get(c, c) for c in frame.columns])
         part = number_rows(frame, name, order, drop_order)
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
