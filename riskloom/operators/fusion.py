@@ -171,10 +171,10 @@ def rank_recipes(valid: DataFrame, groups: Mapping[str, Sequence[FusionRecipe]],
     if cfg.metric not in ("average_precision", "roc_auc"):
         raise ValueError(f"unsupported selection metric: {cfg.metric}")
     flat = [(g, i, r) for g, recipes in groups.items() for i, r in enumerate(recipes)]
-    items = F.array(*[F.struct(F.lit(g).alias("grp"), F.lit(i).alias("pos"), r.column().alias(SCORE)) for g, i, r in flat])
+    items = F.array(*[F.struct(F.lit(g).alias("grp"), F.lit(i).alias("entry"), r.column().alias(SCORE)) for g, i, r in flat])
     long = valid.select(LABEL, F.explode(items).alias("_i")).select(LABEL, "_i.*")
-    by = ["grp", "pos"]
-    found = {(r["grp"], r["pos"]): r[cfg.metric] for r in rank_metrics(score_curve(long, by), by).collect()}
+    by = ["grp", "entry"]
+    found = {(r["grp"], r["entry"]): r[cfg.metric] for r in rank_metrics(score_curve(long, by), by).collect()}
     out: dict[str, list[FusionRecipe]] = {}
     for g, i, r in flat:
         value = found[(g, i)] if found[(g, i)] is not None else float("nan")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.operators.joins import assert_disjoint
@@ -20,14 +20,21 @@ def leakage_correlations(df: DataFrame, label: str = "is_fraud", key: str = "tra
         aggs = []
         for i, c in enumerate(part):
             x = F.col(c).cast("int").cast("double") if df.schema[c].dataType.typeName() == "boolean" else F.col(c).cast("double")
-            aggs += [F.corr(x, y).alias(f"c{i}"), (F.min(x) < F.max(x)).alias(f"v{i}")]
+            aggs += [_correlation(x, y).alias(f"c{i}"), (F.min(x) < F.max(x)).alias(f"v{i}")]
         items = F.array(*[F.struct(F.lit(c).alias("feature"), F.abs(f"c{i}").alias("absolute_correlation"), F.col(f"v{i}").alias("varies")) for i, c in enumerate(part)])
         rows = df.agg(*aggs).select(F.explode(items).alias("r")).select("r.*")
         out = rows if out is None else out.unionByName(rows)
-    suspicious = F.col("varies") & ~F.isnan("absolute_correlation") & (F.col("absolute_correlation") >= threshold)
+    suspicious = F.col("varies") & (F.col("absolute_correlation") >= threshold)
     return out.where(suspicious).select("feature", "absolute_correlation").orderBy(F.desc("absolute_correlation"), "feature")
 
 
+def _correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation over complete pairs; NULL where a side is constant (``corr`` would raise)."""
+    xs, ys = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    spread = F.stddev_pop(xs) * F.stddev_pop(ys)
+    return F.covar_pop(x, y) / F.when(spread > 0, spread)
+
+
 def implausible_performance(metrics: DataFrame, f1: float = 0.995, ap: float = 0.999, split: str = "split") -> DataFrame:
     """Warnings for valid/test splits that look too good: ``type, split``."""
     high = (F.coalesce("f1", F.lit(0.0)) >= f1) | (F.coalesce("average_precision", F.lit(0.0)) >= ap)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -12,9 +13,9 @@ from pyspark.sql import types as T
 
 from riskloom.functions.columns import non_empty
 from riskloom.operators.history import HISTORY_ORDER, transaction_id_column
-from riskloom.operators.joins import semi_join_ids
 from riskloom.operators.schema import POSITION_COLUMNS, is_numeric
 from riskloom.operators.splits import downsample_majority
+from riskloom.session import stage
 
 HASH_BUCKETS = 4096
 TRACE_COLUMNS = ("transaction_id", "current_transaction_id", "is_fraud")
@@ -22,22 +23,24 @@ EXCLUDED_COLUMNS = ("split", "previous_transaction_timestamp", *POSITION_COLUMNS
 COLUMNS_PER_PASS = 100
 
 
-@F.pandas_udf("bigint")
-def blake2_bucket(text: pd.Series) -> pd.Series:
+def blake2_bucket(buckets: int):
     """64-bit BLAKE2b of the text, little endian; for bit parity with models trained elsewhere."""
-    import hashlib
 
-    def one(value: str) -> int:
-        return int.from_bytes(hashlib.blake2b(value.encode(), digest_size=8).digest(), "little") % HASH_BUCKETS
+    @F.pandas_udf("bigint")
+    def bucket(text: pd.Series) -> pd.Series:
+        digests = {
+            v: int.from_bytes(hashlib.blake2b(v.encode(), digest_size=8).digest(), "little") % buckets
+            for v in text.dropna().unique()
+        }
+        return text.map(digests).fillna(0).astype("int64")
 
-    distinct = {v: one(v) for v in text.dropna().unique()}
-    return text.map(distinct).fillna(0).astype("int64")
+    return bucket
 
 
 def hash_bucket(c: str, buckets: int = HASH_BUCKETS, method: str = "md5") -> Column:
     text = F.trim(F.col(c).cast("string"))
     if method == "blake2b":
-        value = blake2_bucket(text)
+        value = blake2_bucket(buckets)(text)
     else:
         value = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint") % buckets
     return F.when(non_empty(c), value).otherwise(F.lit(0).cast("bigint"))
@@ -190,12 +193,11 @@ def prepare_tabular(df: DataFrame, split_ids: DataFrame, ratio: float = 10.0, to
     """Engineer, balance (train only), scale and select; scaler and selector see balanced train only."""
     keyed = df.withColumn("transaction_id", transaction_id_column(df))
     order = [c for c in HISTORY_ORDER if c in keyed.columns] + ["transaction_id"]
-    part = {
-        name: semi_join_ids(keyed, split_ids.where(F.col("split") == name)) for name in ("train", "valid", "test")
-    }
-    balanced = downsample_majority(part["train"], ratio, order)
+    # The features are expensive (windows) and read several times from here on: written once.
+    tagged = stage(keyed.drop("split").join(split_ids.select("transaction_id", "split"), "transaction_id"), "tabular")
+    part = {name: tagged.where(F.col("split") == name).drop("split") for name in ("train", "valid", "test")}
     engineered = {
-        "train": engineer_features(balanced),
+        "train": stage(engineer_features(downsample_majority(part["train"], ratio, order)), "balanced"),
         "valid": engineer_features(part["valid"]),
         "test": engineer_features(part["test"]),
     }
