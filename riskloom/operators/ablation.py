@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.columns import clamp01
 from riskloom.operators.calibration import CalibrationConfig, select_calibrators
-from riskloom.operators.fusion import FusionConfig, _ap_by_branch, _pool, branch_names, candidate_recipes, rank_recipes
+from riskloom.operators.fusion import FusionConfig, FusionRecipe, _ap_by_branch, _pool, branch_names, candidate_recipes, rank_recipes
 from riskloom.operators.metrics import LABEL, PREDICTED, SCORE, best_f1_threshold, evaluate, score_curve
 
 # The leave-one-out variants and the branch each removes.
@@ -50,12 +50,18 @@ def ablations(valid: DataFrame, test: DataFrame, cfg: AblationConfig = AblationC
     chosen = {v: ranked[0] for v, ranked in rank_recipes(valid, groups, cfg.fusion).items()}
     best = cfg.standalone or max(ap, key=lambda n: (ap[n], n))
 
-    raw = {v: clamp01(r.column()) for v, r in chosen.items()}
-    raw["no_fusion"] = F.col(f"{best}_score").cast("double")
-    long = {k: _stack(d, raw) for k, d in (("valid", valid), ("test", test))}
-    picks, _ = select_calibrators(long["valid"], "variant", list(raw), cfg.calibration)
-
-    final_scores = {v: clamp01(picks[v][1].column(e)) for v, e in raw.items()} | {"no_calibration": raw["full"]}
+    # Variants that chose the same fusion share its calibrator.
+    recipe_of = {v: (r.candidate, r.branches, r.weights, r.intercept) for v, r in chosen.items()}
+    recipe_of["no_fusion"] = ("best_branch", (best,), (), 0.0)
+    columns = {key: clamp01(FusionRecipe(*key).column().cast("double")) for key in recipe_of.values()}
+    names_of = {key: f"r{i}" for i, key in enumerate(columns)}
+    label = F.coalesce(F.col(LABEL).cast("int"), F.lit(0)).alias(LABEL)
+    picks, _ = select_calibrators(
+        {names_of[key]: valid.select(label, e.alias(SCORE)) for key, e in columns.items()}, cfg.calibration
+    )
+    picked = {v: picks[names_of[key]] for v, key in recipe_of.items()}
+    final_scores = {v: clamp01(picked[v][1].column(columns[key])) for v, key in recipe_of.items()}
+    final_scores["no_calibration"] = columns[recipe_of["full"]]
     both = _stack(valid, final_scores).withColumn("split", F.lit("valid")).unionByName(
         _stack(test, final_scores).withColumn("split", F.lit("test"))
     )
@@ -71,7 +77,7 @@ def ablations(valid: DataFrame, test: DataFrame, cfg: AblationConfig = AblationC
 
     meta = [
         (v, _describe(v, leave_out), v != "no_fusion", v != "no_calibration", leave_out.get(v),
-         chosen[v].candidate if v in chosen else None, picks[v][0] if v in picks else None, float(limits[v]))
+         chosen[v].candidate if v in chosen else None, picked[v][0] if v in picked else None, float(limits[v]))
         for v in final_scores
     ]
     info = valid.sparkSession.createDataFrame(

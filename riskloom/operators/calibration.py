@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -136,29 +137,27 @@ def fit_calibrator(df: DataFrame, method: str) -> Platt | Knots:
 
 
 def select_calibrators(
-    valid: DataFrame, group: str, names: Sequence[str], cfg: CalibrationConfig
+    frames: Mapping[str, DataFrame], cfg: CalibrationConfig = CalibrationConfig()
 ) -> tuple[dict[str, tuple[str, Platt | Knots]], DataFrame]:
-    """Choose a calibrator for each ``group`` value of a stacked score table.
+    """Choose a calibrator for each named table of scores.
 
-    All fitted calibrators of all groups are compared in one pass. Returns the choice per group
+    All fitted calibrators of all tables are compared in one pass. Returns the choice per table
     and the comparison table.
     """
     if not cfg.methods:
         raise ValueError("at least one calibration method is required")
     if cfg.metric not in SELECTION_METRICS:
         raise ValueError(f"unsupported selection metric: {cfg.metric}")
-    fitted = {(g, m): fit_calibrator(valid.where(F.col(group) == g), m) for g in names for m in cfg.methods}
+    fitted = {(g, m): fit_calibrator(df, m) for g, df in frames.items() for m in cfg.methods}
     parts = [
-        valid.where(F.col(group) == g).select(F.lit(g).alias("grp"), F.lit(m).alias("method"), LABEL, model.column(F.col(SCORE)).alias(SCORE))
+        frames[g].select(F.lit(g).alias("grp"), F.lit(m).alias("method"), LABEL, model.column(F.col(SCORE)).alias(SCORE))
         for (g, m), model in fitted.items()
     ]
-    stacked = parts[0]
-    for p in parts[1:]:
-        stacked = stacked.unionByName(p)
+    stacked = reduce(DataFrame.unionByName, parts)
     rows = selection_metrics(stacked, ["grp", "method"]).collect()
     value = {(r["grp"], r["method"]): r[cfg.metric] for r in rows}
-    chosen = {g: min(cfg.methods, key=lambda m: value[(g, m)]) for g in names}  # first method wins ties
-    comparison = valid.sparkSession.createDataFrame(
+    chosen = {g: min(cfg.methods, key=lambda m: value[(g, m)]) for g in frames}  # first method wins ties
+    comparison = stacked.sparkSession.createDataFrame(
         [(r["grp"], r["method"], r["brier_score"], r["log_loss"], r["expected_calibration_error"], chosen[r["grp"]] == r["method"]) for r in rows],
         "grp string, method string, brier_score double, log_loss double, expected_calibration_error double, selected boolean",
     )
@@ -166,7 +165,7 @@ def select_calibrators(
 
 
 def select_calibrator(valid: DataFrame, methods: Sequence[str] = ("platt", "isotonic"), metric: str = "brier_score") -> tuple[str, Platt | Knots, DataFrame]:
-    picks, table = select_calibrators(valid.withColumn("_g", F.lit("all")), "_g", ["all"], CalibrationConfig(tuple(methods), metric))
+    picks, table = select_calibrators({"all": valid}, CalibrationConfig(tuple(methods), metric))
     return picks["all"][0], picks["all"][1], table.drop("grp")
 
 

@@ -16,8 +16,8 @@ def assert_unique(df: DataFrame, key: str) -> DataFrame:
 
 
 def semi_join_ids(df: DataFrame, ids: DataFrame, key: str = "transaction_id") -> DataFrame:
-    """Rows whose id occurs in ``ids``."""
-    return df.join(ids.select(key), key, "left_semi")
+    """Rows whose id occurs in ``ids``; repeated ids collapse before they are shuffled."""
+    return df.join(ids.select(key).distinct(), key, "left_semi")
 
 
 def subset_by_ids(df: DataFrame, ids: DataFrame, key: str = "transaction_id", position: str = "position") -> DataFrame:
@@ -78,10 +78,10 @@ def label_consistency(frames: Mapping[str, DataFrame]) -> DataFrame:
 def id_diagnostics(frames: Mapping[str, DataFrame], samples: int = 5) -> DataFrame:
     """Ids missing from and extra in each branch against the base: counts and the first few."""
     names = list(frames)
-    base = frames[names[0]].select("transaction_id")
+    base = frames[names[0]].select("transaction_id").distinct()
     out = None
     for name in names[1:]:
-        other = frames[name].select("transaction_id")
+        other = frames[name].select("transaction_id").distinct()
         for kind, ids in (
             ("missing", base.join(other, "transaction_id", "left_anti")),
             ("extra", other.join(base, "transaction_id", "left_anti")),

@@ -26,11 +26,11 @@ def _label() -> Column:
 
 
 def match_keys(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join two per-group results; without groups both hold one row."""
+    """Join ``right``, one row per group, to ``left``; without groups that is a single row."""
     if by:
         return left.join(right, list(by), how)
     one = F.lit(1).alias("_one")
-    return left.select("*", one).join(right.select("*", one), "_one", how).drop("_one")
+    return left.select("*", one).join(F.broadcast(right.select("*", one)), "_one", how).drop("_one")
 
 
 def confusion(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:

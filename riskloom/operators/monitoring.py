@@ -72,8 +72,8 @@ def psi_by_field(ref: DataFrame, cur: DataFrame, fields: Sequence[str], bins: in
     q = quantiles_of_counts(curve, "value", [i / bins for i in range(bins + 1)], ["field"])
     edges = q.select("field", F.array_sort(F.array_distinct(F.array(*[f"q{i}" for i in range(bins + 1)]))).alias("edges"))
     both = reference.withColumn("side", F.lit("ref")).unionByName(current.withColumn("side", F.lit("cur")))
-    # Edges hold one short array per field.
-    located = both.join(edges, "field").where((F.size("edges") > 1) & (F.col("value") >= F.element_at("edges", 1)) & (F.col("value") <= F.element_at("edges", -1)))
+    # Edges hold one short array per configured field.
+    located = both.join(F.broadcast(edges), "field").where((F.size("edges") > 1) & (F.col("value") >= F.element_at("edges", 1)) & (F.col("value") <= F.element_at("edges", -1)))
     at = F.least(F.size(F.filter("edges", lambda e: e <= F.col("value"))), F.size("edges") - 1)
     hist = located.groupBy("field", at.alias("bin"), "side").agg(F.sum("n").alias("n"))
     wide = hist.groupBy("field", "bin").agg(

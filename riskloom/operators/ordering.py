@@ -59,29 +59,27 @@ def running_totals(
     ``df`` must hold one row per (by, value), that is, be pre-aggregated.
     """
     direction = F.col(value).desc() if descending else F.col(value).asc()
+    # One struct key per group: equal also when a grouping value is NULL, and the join below and the
+    # window inside share its partitioning, so the rows move once.
+    group = F.struct(*[F.col(b) for b in by]) if by else F.lit(0)
     placed = stage(
-        df.repartitionByRange(*[F.col(b) for b in by], direction).withColumn("_pid", F.spark_partition_id()),
-        "totals",
-    )
-    per_part = placed.groupBy(*by, "_pid").agg(*[F.sum(s).alias(f"_part_{s}") for s in sums])
-    group = W.partitionBy(*by)
-    before = group.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
+        df.repartitionByRange(*[F.col(b) for b in by], direction).withColumn("_pid", F.spark_partition_id()), "totals"
+    ).withColumn("_g", group)
+    per_part = placed.groupBy("_g", "_pid").agg(*[F.sum(s).alias(f"_part_{s}") for s in sums])
+    whole = W.partitionBy("_g")
+    before = whole.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
     offsets = per_part.select(
-        *by,
+        "_g",
         "_pid",
         *[F.coalesce(F.sum(f"_part_{s}").over(before), F.lit(0)).alias(f"_before_{s}") for s in sums],
-        *[F.sum(f"_part_{s}").over(group).alias(f"total_{s}") for s in sums],
+        *[F.sum(f"_part_{s}").over(whole).alias(f"total_{s}") for s in sums],
     )
-    keys = [*by, "_pid"]
-    inside = W.partitionBy(*keys).orderBy(direction).rowsBetween(W.unboundedPreceding, W.currentRow)
-    matched = None
-    for k in keys:
-        same = placed[k].eqNullSafe(offsets[k])
-        matched = same if matched is None else matched & same
-    joined = placed.join(offsets, matched).drop(*[offsets[k] for k in keys])
-    return joined.withColumns(
+    if not by:
+        offsets = F.broadcast(offsets)  # one row per range partition
+    inside = W.partitionBy("_g", "_pid").orderBy(direction).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return placed.join(offsets, ["_g", "_pid"]).withColumns(
         {f"cum_{s}": F.col(f"_before_{s}") + F.sum(s).over(inside) for s in sums}
-    ).drop("_pid", *[f"_before_{s}" for s in sums])
+    ).drop("_g", "_pid", *[f"_before_{s}" for s in sums])
 
 
 def exact_quantiles(

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,33 +86,28 @@ def engineer_features(df: DataFrame, keep: Sequence[str] = ("transaction_id", "i
 
 
 def wide_stats(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """``column, n, total, squares, mean, std, low, high`` per column (and group).
+    """``column, position, n, total, squares, mean, std, low, high`` per column (and group); NULL is 0.
 
-    Column-wise aggregates in passes of COLUMNS_PER_PASS, so the generated code stays compilable and
-    the shuffle carries a few rows; nothing is exploded before it is aggregated.
+    All columns go through one vector aggregate, so hundreds of features cost one pass and one small
+    row per group; nothing is exploded before it is aggregated.
     """
-    out = None
-    for start in range(0, len(cols), COLUMNS_PER_PASS):
-        part = cols[start:start + COLUMNS_PER_PASS]
-        aggs = []
-        for i, c in enumerate(part):
-            x = F.col(c).cast("double")
-            aggs += [
-                F.count(x).alias(f"n{i}"), F.sum(x).alias(f"t{i}"), F.sum(x * x).alias(f"s{i}"), F.avg(x).alias(f"m{i}"),
-                F.stddev_pop(x).alias(f"d{i}"), F.min(x).alias(f"l{i}"), F.max(x).alias(f"h{i}"),
-            ]
-        row = df.groupBy(*by).agg(*aggs)
-        names = ("n", "total", "squares", "mean", "std", "low", "high")
-        items = F.array(*[
-            F.struct(F.lit(c).alias("column"), F.lit(start + i).alias("position"),
-                     *[F.col(f"{k}{i}").alias(name) for k, name in zip("ntsmdlh", names)])
-            for i, c in enumerate(part)
-        ])
-        long = row.select(*by, F.explode(items).alias("r")).select(*by, "r.*")
-        out = long if out is None else out.unionByName(long)
-    if out is None:
+    if not cols:
         raise ValueError("at least one feature column is required")
-    return out
+    numbers = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_x{i}") for i, c in enumerate(cols)]
+    packed = VectorAssembler(inputCols=[f"_x{i}" for i in range(len(cols))], outputCol="_v").transform(df.select(*by, *numbers))
+    summary = Summarizer.metrics("count", "sum", "normL2", "mean", "variance", "min", "max").summary(F.col("_v"))
+    row = packed.groupBy(*by).agg(summary.alias("s"))
+    part = lambda name: vector_to_array(F.col(f"s.{name}")).alias(name)
+    arrays = row.select(
+        *by, F.col("s.count").alias("n"), F.array(*[F.lit(c) for c in cols]).alias("column"), *[part(m) for m in ("sum", "normL2", "mean", "variance", "min", "max")]
+    )
+    zipped = F.posexplode(F.arrays_zip("column", "sum", "normL2", "mean", "variance", "min", "max")).alias("position", "r")
+    # The library's variance divides by n-1, the scaler by n.
+    population = F.sqrt(F.col("r.variance") * (F.col("n") - 1) / F.greatest("n", F.lit(1)))
+    return arrays.select(*by, "n", zipped).select(
+        *by, "r.column", "position", "n", F.col("r.sum").alias("total"), (F.col("r.normL2") * F.col("r.normL2")).alias("squares"),
+        F.col("r.mean").alias("mean"), population.alias("std"), F.col("r.min").alias("low"), F.col("r.max").alias("high"),
+    )
 
 
 def scale_fit(df: DataFrame, cols: Sequence[str]) -> DataFrame:

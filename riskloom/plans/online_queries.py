@@ -173,21 +173,20 @@ def m6(spark, d):
 
 
 def _requests(spark, d):
-    """One JSON request per user with all its events as records."""
+    """One JSON request for each 64 consecutive events."""
     t = _feature_map(_tree_inputs(spark, d))
     record = F.struct(
         F.concat(F.lit("ev_"), F.col("event_id").cast("string")).alias("transaction_id"),
         F.when(F.col("event_type") == "error", "1").when(F.col("event_type") == "click", "2").alias("is_fraud"),
         "features", F.create_map(F.lit("channel"), F.col("event_type")).alias("metadata"),
     )
-    # One day of one user per request keeps the documents small however many events there are.
-    return t.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.collect_list(record).alias("records")).select(
-        F.to_json(F.struct(F.concat(F.lit("r"), F.col("user_id").cast("string"), F.lit("-"), F.col("day").cast("string")).alias("request_id"), "records")).alias("payload")
+    return t.groupBy(F.floor(F.col("event_id") / 64).alias("block")).agg(F.collect_list(record).alias("records")).select(
+        F.to_json(F.struct(F.concat(F.lit("r"), F.col("block").cast("string")).alias("request_id"), "records")).alias("payload")
     )
 
 
 @query("m10_parse_score_requests", "WITH " + _TREE_SRC + """
-SELECT concat('r', CAST(e.user_id AS VARCHAR), '-', strftime(e.ts, '%Y-%m-%d')) AS request_id, concat('ev_', CAST(e.event_id AS VARCHAR)) AS transaction_id, CASE WHEN event_type = 'error' THEN 1 END AS is_fraud,
+SELECT concat('r', CAST(e.event_id // 64 AS VARCHAR)) AS request_id, concat('ev_', CAST(e.event_id AS VARCHAR)) AS transaction_id, CASE WHEN event_type = 'error' THEN 1 END AS is_fraud,
        round(f0, 6) AS amount, round(f1, 6) AS k, event_type AS channel FROM inputs i JOIN events e ON i.event_id = e.event_id""")
 def m10(spark, d):
     out = scoring.parse_score_requests(_requests(spark, d), ["amount", "k"])
