@@ -8,14 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, replace
+from functools import partial
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.columns import clamp01
 from riskloom.operators.calibration import CalibrationConfig, select_calibrators
 from riskloom.operators.fusion import FusionConfig, FusionRecipe, _ap_by_branch, _pool, branch_names, candidate_recipes, rank_recipes
-from riskloom.operators.metrics import LABEL, PREDICTED, SCORE, best_f1_threshold, evaluate, score_curve
+from riskloom.operators.metrics import LABEL, PREDICTED, SCORE, best_f1_threshold, evaluate, score_curve, stack_columns
+from riskloom.session import side_by_side
 
 # The leave-one-out variants and the branch each removes.
 LEAVE_OUT = {
@@ -40,13 +42,11 @@ def ablations(valid: DataFrame, test: DataFrame, cfg: AblationConfig = AblationC
     leave_out = dict(LEAVE_OUT if cfg.leave_out is None else cfg.leave_out)
     ap = _ap_by_branch(valid, names)
     sets = {"full": names} | {v: [n for n in names if n != b] for v, b in leave_out.items()}
-    made: dict[tuple[str, ...], list] = {}
-    groups = {}
-    for variant, kept in sets.items():
-        pool = tuple(_pool({n: ap[n] for n in kept}, cfg.fusion))
-        if pool not in made:
-            made[pool] = candidate_recipes(valid, pool, ap, cfg.fusion)
-        groups[variant] = made[pool]
+    pool_of = {v: tuple(_pool({n: ap[n] for n in kept}, cfg.fusion)) for v, kept in sets.items()}
+    pools = list(dict.fromkeys(pool_of.values()))
+    fits = [partial(candidate_recipes, valid, pool, ap, cfg.fusion) for pool in pools]
+    made = dict(zip(pools, side_by_side(valid.sparkSession, fits)))
+    groups = {v: made[pool] for v, pool in pool_of.items()}
     chosen = {v: ranked[0] for v, ranked in rank_recipes(valid, groups, cfg.fusion).items()}
     best = cfg.standalone or max(ap, key=lambda n: (ap[n], n))
 
@@ -92,10 +92,9 @@ def ablations(valid: DataFrame, test: DataFrame, cfg: AblationConfig = AblationC
     return info.join(wide, "variant")
 
 
-def _stack(df: DataFrame, scores: Mapping[str, F.Column]) -> DataFrame:
-    items = F.array(*[F.struct(F.lit(v).alias("variant"), e.cast("double").alias(SCORE)) for v, e in scores.items()])
+def _stack(df: DataFrame, scores: Mapping[str, Column]) -> DataFrame:
     label = F.coalesce(F.col(LABEL).cast("int"), F.lit(0)).alias(LABEL)
-    return df.select("transaction_id", label, F.explode(items).alias("_i")).select("transaction_id", LABEL, "_i.*")
+    return stack_columns(df, scores, ["transaction_id", label], "variant")
 
 
 def _describe(variant: str, leave_out: Mapping[str, str]) -> str:

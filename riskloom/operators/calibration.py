@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from riskloom.functions.columns import clamp01, clip_probability, sigmoid
 from riskloom.operators.fusion import fit_balanced_logistic, predictions
 from riskloom.operators.metrics import LABEL, PREDICTED, SCORE, evaluate, match_keys, resolve_threshold
+from riskloom.session import side_by_side
 
 MAX_INLINE_KNOTS = 32
 SELECTION_METRICS = ("brier_score", "log_loss", "expected_calibration_error")
@@ -148,7 +149,9 @@ def select_calibrators(
         raise ValueError("at least one calibration method is required")
     if cfg.metric not in SELECTION_METRICS:
         raise ValueError(f"unsupported selection metric: {cfg.metric}")
-    fitted = {(g, m): fit_calibrator(df, m) for g, df in frames.items() for m in cfg.methods}
+    wanted = [(g, m) for g in frames for m in cfg.methods]
+    spark = next(iter(frames.values())).sparkSession
+    fitted = dict(zip(wanted, side_by_side(spark, [partial(fit_calibrator, frames[g], m) for g, m in wanted])))
     parts = [
         frames[g].select(F.lit(g).alias("grp"), F.lit(m).alias("method"), LABEL, model.column(F.col(SCORE)).alias(SCORE))
         for (g, m), model in fitted.items()

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import columns as C
-from riskloom.operators.metrics import LABEL, PREDICTED, SCORE, average_precision, evaluate, rank_metrics, resolve_threshold, score_curve, stack_scores
+from riskloom.operators.metrics import LABEL, PREDICTED, SCORE, average_precision, evaluate, rank_metrics, resolve_threshold, score_curve, stack_columns, stack_scores
 
 SCORE_SUFFIX = "_score"
 CANDIDATES = ("best_branch", "mean_top_k", "geometric_mean_top_k", "ap_weighted_average", "logistic_meta", "bayesian_reliability")
@@ -170,17 +170,17 @@ def rank_recipes(valid: DataFrame, groups: Mapping[str, Sequence[FusionRecipe]],
     """Score the recipes of all groups in one pass; each group's list comes back best first."""
     if cfg.metric not in ("average_precision", "roc_auc"):
         raise ValueError(f"unsupported selection metric: {cfg.metric}")
-    flat = [(g, i, r) for g, recipes in groups.items() for i, r in enumerate(recipes)]
-    items = F.array(*[F.struct(F.lit(g).alias("grp"), F.lit(i).alias("entry"), r.column().alias(SCORE)) for g, i, r in flat])
-    long = valid.select(LABEL, F.explode(items).alias("_i")).select(LABEL, "_i.*")
-    by = ["grp", "entry"]
-    found = {(r["grp"], r["entry"]): r[cfg.metric] for r in rank_metrics(score_curve(long, by), by).collect()}
+    distinct = list(dict.fromkeys(r for recipes in groups.values() for r in recipes))
+    long = stack_columns(valid, {str(i): r.column() for i, r in enumerate(distinct)}, [LABEL], "entry")
+    rows = rank_metrics(score_curve(long, ["entry"]), ["entry"]).collect()
+    found = {distinct[int(r["entry"])]: r[cfg.metric] for r in rows}
     out: dict[str, list[FusionRecipe]] = {}
-    for g, i, r in flat:
-        value = found[(g, i)] if found[(g, i)] is not None else float("nan")
-        extra = len(r.branches) - 1
-        out.setdefault(g, []).append(replace(r, metric=value, selection_score=value - cfg.complexity_penalty * extra))
-    for g in out:
+    for g, recipes in groups.items():
+        out[g] = []
+        for r in recipes:
+            value = found[r] if found[r] is not None else float("nan")
+            extra = len(r.branches) - 1
+            out[g].append(replace(r, metric=value, selection_score=value - cfg.complexity_penalty * extra))
         out[g].sort(key=lambda r: (r.selection_score, r.metric, -len(r.branches)), reverse=True)
     return out
 

@@ -6,7 +6,7 @@ the table nor one group is ever sorted in a single task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -179,6 +179,17 @@ def stack_scores(df: DataFrame, names: Sequence[str], keep: Sequence[str] = ("tr
     return df.select(*keep, F.explode(items).alias("_i")).select(*keep, "_i.*")
 
 
+def stack_columns(df: DataFrame, scores: Mapping[str, Column], keep: Sequence[str | Column], into: str) -> DataFrame:
+    """Named score expressions to rows (name, score).
+
+    The expressions become columns first: inside the generator they would leave code generation.
+    """
+    wide = df.select(*keep, *[e.cast("double").alias(f"_c{i}") for i, e in enumerate(scores.values())])
+    items = F.array(*[F.struct(F.lit(n).alias(into), F.col(f"_c{i}").alias(SCORE)) for i, n in enumerate(scores)])
+    kept = [c for c in wide.columns if not c.startswith("_c")]
+    return wide.select(*kept, F.explode(items).alias("_i")).select(*kept, "_i.*")
+
+
 def top_errors(pred: DataFrame, n: int = 50) -> DataFrame:
     """Worst false positives (highest score) and false negatives (lowest score), ties by id."""
     y, p = F.col(LABEL).cast("int"), F.col(PREDICTED).cast("int")

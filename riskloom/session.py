@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -55,3 +58,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{stage_root(spark)}/riskloom-stages/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def side_by_side(spark: SparkSession, tasks: Sequence[Callable], workers: int = 4) -> list:
+    """Run independent small fits at the same time; each alone leaves most of the cluster idle."""
+    if len(tasks) < 2:
+        return [t() for t in tasks]
+    with ThreadPoolExecutor(min(workers, len(tasks))) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(t)) for t in tasks]]
