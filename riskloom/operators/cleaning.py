@@ -83,16 +83,33 @@ def canonicalize(df: DataFrame) -> DataFrame:
     return df.withColumns(extra)
 
 
-def dedupe_exact_keep_first(df: DataFrame, order: Sequence[str] = ("source_file", "source_file_row_number"), ignore: Sequence[str] = PROVENANCE) -> DataFrame:
+ROW_BITS = 40
+
+
+def dedupe_exact_keep_first(
+    df: DataFrame, order: Sequence[str] = ("source_file", "source_file_row_number"), ignore: Sequence[str] = PROVENANCE, sources: Sequence[str] | None = None
+) -> DataFrame:
     """Keep the first of rows equal in every payload column (NULL equals NULL).
 
     A grouped minimum of the provenance: copies collapse before the shuffle, so a group of
-    copies that makes up most of the table is no hot spot.
+    copies that makes up most of the table is no hot spot. With the ordered list of ``sources`` the
+    provenance fits one number and the aggregation hashes; otherwise Spark has to sort the groups.
     """
     payload = [c for c in df.columns if c not in ignore]
     provenance = [c for c in df.columns if c in ignore]
-    first = F.min_by(F.struct(*provenance), F.struct(*order)).alias("_first")
-    return df.groupBy(*payload).agg(first).select(*payload, "_first.*").select(*df.columns)
+    if sources is None:
+        first = F.min_by(F.struct(*provenance), F.struct(*order)).alias("_first")
+        return df.groupBy(*payload).agg(first).select(*payload, "_first.*").select(*df.columns)
+    names = F.array(*[F.lit(s) for s in sources])
+    packed = F.shiftleft(F.array_position(names, F.col("source_file")).cast("bigint"), ROW_BITS) + F.col("source_file_row_number")
+    row = F.col("_first").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    unpacked = {
+        "source_file": F.element_at(names, F.shiftright("_first", ROW_BITS).cast("int")),
+        "source_row_number": row,
+        "source_file_row_number": row,
+    }
+    distinct = df.groupBy(*payload).agg(F.min(packed).alias("_first"))
+    return distinct.select(*[unpacked[c].alias(c) if c in unpacked else F.col(c) for c in df.columns])
 
 
 def coerce_frame(df: DataFrame, schema: TransactionSchema | None = None) -> DataFrame:
@@ -168,7 +185,7 @@ def flagged_transactions(frames: Mapping[str, DataFrame], order: Sequence[str])
     """(all rows as trimmed text, distinct rows typed with reasons)."""
     raw = canonicalize(trim_all(union_sources(frames, order)))
     # Duplicates are recognised on the trimmed text, before any typing.
-    return raw, reject_reasons(coerce_frame(dedupe_exact_keep_first(raw)))
+    return raw, reject_reasons(coerce_frame(dedupe_exact_keep_first(raw, sources=sorted(frames))))
 
 
 def clean_transactions(frames: Mapping[str, DataFrame], order: Sequence[str]) -> CleanResult:

@@ -12,7 +12,8 @@ from riskloom.operators.ordering import global_ordinal
 
 def assert_unique(df: DataFrame, key: str) -> DataFrame:
     """Keys that occur more than once with their counts; empty means unique."""
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_copies")).where(F.col("_copies") > 1)
+    return counts.withColumnRenamed("_copies", "n" if key != "n" else "copies")
 
 
 def semi_join_ids(df: DataFrame, ids: DataFrame, key: str = "transaction_id") -> DataFrame:

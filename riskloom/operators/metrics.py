@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from riskloom.functions.columns import clip_probability, ratio_or_zero
-from riskloom.operators.ordering import exact_quantiles, running_totals
+from riskloom.operators.ordering import exact_quantiles, quantile_grid, running_totals
 
 LABEL = "is_fraud"
 SCORE = "score"
@@ -97,7 +97,7 @@ def roc_auc(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def quantile_calibration_bins(df: DataFrame, n: int = 10, by: Sequence[str] = ()) -> DataFrame:
     """Mean score and observed rate in bins between exact score quantiles; empty bins are absent."""
-    edges = exact_quantiles(df, SCORE, [i / n for i in range(n + 1)], by)
+    edges = exact_quantiles(df, SCORE, quantile_grid(n), by)
     inner = edges.select(*by, F.array(*[f"q{i}" for i in range(1, n)]).alias("_edges"))
     # Scores collapse to distinct values first; the edges are one row per group.
     counts = df.groupBy(*by, SCORE).agg(F.count(F.lit(1)).alias("n"), F.sum(_label().cast("bigint")).alias("pos"))

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 
 from riskloom.functions.columns import ratio_or_zero, severity
 from riskloom.operators.metrics import SCORE, evaluate, match_keys
-from riskloom.operators.ordering import exact_quantiles, quantiles_of_counts, running_totals
+from riskloom.operators.ordering import exact_quantiles, quantile_grid, quantiles_of_counts, running_totals
 
 
 @dataclass(frozen=True)
@@ -69,7 +69,7 @@ def psi_by_field(ref: DataFrame, cur: DataFrame, fields: Sequence[str], bins: in
     the reference range are dropped, shares floored at 1e-9, 0 when there is nothing to compare."""
     reference, current = _value_counts(ref, fields), _value_counts(cur, fields)
     curve = running_totals(reference, "value", ["n"], ["field"], descending=False)
-    q = quantiles_of_counts(curve, "value", [i / bins for i in range(bins + 1)], ["field"])
+    q = quantiles_of_counts(curve, "value", quantile_grid(bins), ["field"])
     edges = q.select("field", F.array_sort(F.array_distinct(F.array(*[f"q{i}" for i in range(bins + 1)]))).alias("edges"))
     both = reference.withColumn("side", F.lit("ref")).unionByName(current.withColumn("side", F.lit("cur")))
     # Edges hold one short array per configured field.

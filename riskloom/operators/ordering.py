@@ -82,6 +82,11 @@ def running_totals(
     ).drop("_g", "_pid", *[f"_before_{s}" for s in sums])
 
 
+def quantile_grid(bins: int) -> list[float]:
+    """0, 1/bins, ..., 1 as i * (1/bins): the doubles the edge definitions are based on."""
+    return [i * (1.0 / bins) for i in range(bins)] + [1.0]
+
+
 def exact_quantiles(
     df: DataFrame, value: str, probabilities: Sequence[float], by: Sequence[str] = ()
 ) -> DataFrame:
@@ -108,7 +113,9 @@ def quantiles_of_counts(curve: DataFrame, value: str, probabilities: Sequence[fl
     for i, p in enumerate(probabilities):
         at = F.lit(float(p)) * (F.col("samples") - 1)
         lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        out.append((lo + (hi - lo) * (at - F.floor(at))).alias(f"q{i}"))
+        part = at - F.floor(at)
+        # Step from the nearer neighbour, so that an exact rank returns its value bit for bit.
+        out.append(F.when(part < 0.5, lo + (hi - lo) * part).otherwise(hi - (hi - lo) * (1 - part)).alias(f"q{i}"))
     return picked.select(*by, "samples", *out)
 
 

@@ -32,15 +32,15 @@ def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> tuple[DataFra
     handled by the ordinary plan, so the broadcast below has a fixed size bound.
     """
     top = (
-        df.groupBy(key).count().where(F.col("count") > hot_rows)
-        .orderBy(F.desc("count")).limit(MAX_HOT_KEYS).collect()
+        df.groupBy(F.col(key).alias("_hot")).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows)
+        .orderBy(F.desc("_rows")).limit(MAX_HOT_KEYS).collect()
     )
     if not top:
         return None, 0
     schema = df.select(F.col(key).alias("_hot")).schema
     schema["_hot"].nullable = True
     keys = df.sparkSession.createDataFrame([(r[0],) for r in top], schema)
-    return keys, sum(r["count"] for r in top)
+    return keys, sum(r["_rows"] for r in top)
 
 
 def split_hot(df: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:

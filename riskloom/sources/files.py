@@ -89,7 +89,10 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 # --- checksums --------------------------------------------------------------------------
 
 def file_checksums(spark: SparkSession, folder: str) -> DataFrame:
-    """``path, size_bytes, sha256`` of every file below ``folder`` except dotfiles."""
+    """``path, size_bytes, sha256`` of every file below ``folder`` except dotfiles.
+
+    Spark's file scan passes over files of zero length, so these are not listed.
+    """
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
         .withColumn("_name", F.element_at(F.split("path", "/"), -1))
