@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import columns as C
 from riskloom.operators import ablation, calibration, contract, fusion, history, leakage, metrics, prep, thresholds
+from riskloom.operators.ordering import quantile_grid
 from riskloom.plans import adapters as A
 from riskloom.plans.registry import as_text, query, rounded, with_ctes
 
@@ -440,7 +441,8 @@ def l5(spark, d):
     return rounded(metrics.brier(_pred(spark, d), ["split"]), "brier_score")
 
 
-_EDGES = "edges AS (SELECT quantile_cont(score, [0.1::DOUBLE, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM scored)"
+_INNER = ", ".join(f"{p!r}::DOUBLE" for p in quantile_grid(10)[1:-1])
+_EDGES = f"edges AS (SELECT quantile_cont(score, [{_INNER}]) AS e FROM scored)"
 
 
 @query("l6_quantile_calibration_bins", with_ctes(A.SCORED, _EDGES) + """

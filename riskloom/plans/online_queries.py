@@ -10,6 +10,7 @@ from riskloom.operators import history, models, monitoring, policy, profiles, re
 from riskloom.operators.calibration import Knots, isotonic_fit
 from riskloom.operators.contract import Contract
 from riskloom.operators.fusion import FusionRecipe
+from riskloom.operators.ordering import quantile_grid
 from riskloom.operators.prep import prepare_tabular
 from riskloom.plans import adapters as A
 from riskloom.plans.data_queries import _split_txn
@@ -291,7 +292,7 @@ def n6(spark, d):
 # --- monitoring -----------------------------------------------------------------------------------
 
 def psi_sql(ref: str, cur: str, field: str, name: str) -> str:
-    q = ", ".join(f"{i / 10}::DOUBLE" for i in range(11))
+    q = ", ".join(f"{p!r}::DOUBLE" for p in quantile_grid(10))
     b = "least(len(list_filter(e, lambda x: x <= v)), len(e) - 1)"
     return f"""{name}_e AS (SELECT list_sort(list_distinct(quantile_cont({field}, [{q}]))) AS e FROM {ref}),
 {name}_h AS (SELECT side, {b} AS bin, count(*) AS n FROM (SELECT 'ref' AS side, {field} AS v FROM {ref} UNION ALL SELECT 'cur', {field} FROM {cur}) CROSS JOIN {name}_e WHERE v >= e[1] AND v <= e[len(e)] GROUP BY side, bin),
