@@ -67,30 +67,35 @@ def _value_counts(df: DataFrame, fields: Sequence[str]) -> DataFrame:
 def psi_by_field(ref: DataFrame, cur: DataFrame, fields: Sequence[str], bins: int = 10) -> DataFrame:
     """``field, psi``: shares between the reference's distinct quantile edges; current values outside
     the reference range are dropped, shares floored at 1e-9, 0 when there is nothing to compare."""
-    reference, current = _value_counts(ref, fields), _value_counts(cur, fields)
-    curve = running_totals(reference, "value", ["n"], ["field"], descending=False)
+    curve = running_totals(_value_counts(ref, fields), "value", ["n"], ["field"], descending=False)
     q = quantiles_of_counts(curve, "value", quantile_grid(bins), ["field"])
     edges = q.select("field", F.array_sort(F.array_distinct(F.array(*[f"q{i}" for i in range(bins + 1)]))).alias("edges"))
-    both = reference.withColumn("side", F.lit("ref")).unionByName(current.withColumn("side", F.lit("cur")))
+    # The staged curve already holds the reference counts: each side is read and grouped once.
+    none = F.lit(0).cast("bigint")
+    both = curve.select("field", "value", F.col("n").alias("ref"), none.alias("cur")).unionByName(
+        _value_counts(cur, fields).select("field", "value", none.alias("ref"), F.col("n").alias("cur"))
+    )
     # Edges hold one short array per configured field.
-    located = both.join(F.broadcast(edges), "field").where((F.size("edges") > 1) & (F.col("value") >= F.element_at("edges", 1)) & (F.col("value") <= F.element_at("edges", -1)))
+    located = both.join(F.broadcast(edges), "field")
+    inside = (F.size("edges") > 1) & (F.col("value") >= F.element_at("edges", 1)) & (F.col("value") <= F.element_at("edges", -1))
     at = F.least(F.size(F.filter("edges", lambda e: e <= F.col("value"))), F.size("edges") - 1)
-    hist = located.groupBy("field", at.alias("bin"), "side").agg(F.sum("n").alias("n"))
-    wide = hist.groupBy("field", "bin").agg(
-        *[F.coalesce(F.sum(F.when(F.col("side") == s, F.col("n"))), F.lit(0)).alias(s) for s in ("ref", "cur")]
+    hist = located.groupBy("field", F.when(inside, at).otherwise(0).alias("bin")).agg(F.sum("ref").alias("ref"), F.sum("cur").alias("cur"))
+    # At most bins + 1 rows per field. A bin that is empty on both sides adds nothing, so it may be absent.
+    inner = lambda side: F.sum(F.when(F.col("bin") > 0, F.col(side)))
+    per_field = hist.groupBy("field").agg(
+        inner("ref").alias("_r"), inner("cur").alias("_c"), F.sum("cur").alias("_any"),
+        F.collect_list(F.when(F.col("bin") > 0, F.struct("ref", "cur"))).alias("_bins"),
     )
-    # Every bin between the edges counts, also one nobody falls into.
-    grid = edges.select("field", F.explode(F.when(F.size("edges") > 1, F.sequence(F.lit(1), F.size("edges") - 1))).alias("bin"))
-    full = grid.join(wide, ["field", "bin"], "left").fillna(0, ["ref", "cur"])
-    totals = W.partitionBy("field")
-    share = lambda s: F.greatest(F.col(s) / F.greatest(F.sum(s).over(totals), F.lit(1)), F.lit(1e-9))
-    shares = full.withColumns({"_r": share("ref"), "_c": share("cur")})
-    found = shares.groupBy("field").agg(F.sum((F.col("_c") - F.col("_r")) * F.ln(F.col("_c") / F.col("_r"))).alias("psi"))
+
+    def term(b):
+        r, c = (F.greatest(b[side] / F.greatest(F.col(total), F.lit(1)), F.lit(1e-9)) for side, total in (("ref", "_r"), ("cur", "_c")))
+        return (c - r) * F.ln(c / r)
+
+    value = F.aggregate(F.transform("_bins", term), F.lit(0.0), lambda acc, x: acc + x)
     # No current value at all means nothing to compare, not total drift.
-    present = current.groupBy("field").agg(F.sum("n").alias("_cur"))
+    found = per_field.select("field", F.when(F.col("_any") > 0, value).otherwise(F.lit(0.0)).alias("psi"))
     named = ref.sparkSession.createDataFrame([(f,) for f in fields], "field string")
-    value = F.when(F.col("_cur").isNotNull(), F.coalesce("psi", F.lit(0.0))).otherwise(F.lit(0.0))
-    return named.join(found, "field", "left").join(present, "field", "left").select("field", value.alias("psi"))
+    return named.join(F.broadcast(found), "field", "left").select("field", F.coalesce("psi", F.lit(0.0)).alias("psi"))
 
 
 def psi(ref: DataFrame, cur: DataFrame, column: str, bins: int = 10) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
@@ -57,9 +58,32 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{stage_root(spark)}/riskloom-stages/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
+    _STAGES.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_STAGES: list[str] = []
+
+
+def clear_stages(spark: SparkSession, keep: int = 0) -> None:
+    """Delete the tables this process staged (all but the first ``keep``); results read from them are then gone."""
+    while len(_STAGES) > keep:
+        target = spark._jvm.org.apache.hadoop.fs.Path(_STAGES.pop())
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def staged(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """A staged table for the length of a block; for loops that would otherwise pile them up."""
+    out = stage(df, name)
+    path = _STAGES.pop()
+    try:
+        yield out
+    finally:
+        target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def side_by_side(spark: SparkSession, tasks: Sequence[Callable], workers: int = 4) -> list:
     """Run independent small fits at the same time; each alone leaves most of the cluster idle."""
     if len(tasks) < 2:

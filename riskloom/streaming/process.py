@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from riskloom.operators.policy import rule_score_as_of
 from riskloom.operators.scoring import ScoringSpec, score_events, validate_request
-from riskloom.session import stage
+from riskloom.session import staged
 from riskloom.sources.sinks import insert_if_absent
 from riskloom.streaming.profiles import with_profile
 
@@ -90,23 +90,23 @@ def process_stream(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         # Written once: two sinks read it, and a second pass must not see another processing time.
-        done = stage(batch.withColumn("processed_at", F.current_timestamp()), f"batch{batch_id}")
-        target = batch.sparkSession.read.schema(DECISION_SCHEMA).parquet(table_path)
-        insert_if_absent(decision_rows(done), target, "transaction_id", ["timestamp"]).write.mode("append").parquet(table_path)
-        stamp = F.col("processed_at")
-        (
-            done.withColumns({
-                "year": F.date_format(stamp, "yyyy"), "month": F.date_format(stamp, "MM"), "day": F.date_format(stamp, "dd"),
-                "batch": F.lit(batch_id),
-            })
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("year", "month", "day", "batch").json(audit_path)
-        )
+        with staged(batch.withColumn("processed_at", F.current_timestamp()), f"batch{batch_id}") as done:
+            target = batch.sparkSession.read.schema(DECISION_SCHEMA).parquet(table_path)
+            insert_if_absent(decision_rows(done), target, "transaction_id", ["timestamp"]).write.mode("append").parquet(table_path)
+            _write_audit(done.withColumn("batch", F.lit(batch_id)), audit_path)
 
     writer = enriched_events(events, spec).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def _write_audit(batch: DataFrame, path: str) -> None:
+    """Dated folders with the batch number innermost: a replayed batch overwrites its own files only."""
+    stamp = F.col("processed_at")
+    parts = {"year": F.date_format(stamp, "yyyy"), "month": F.date_format(stamp, "MM"), "day": F.date_format(stamp, "dd")}
+    writer = batch.withColumns(parts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("year", "month", "day", "batch").json(path)
+
+
 def dedupe_stream(stream: DataFrame, key: str = "transaction_id", delay: str = "1 hour", ts: str = "event_time") -> DataFrame:
     """One row per transaction id among events that arrive within ``delay`` of each other."""
     return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])

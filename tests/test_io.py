@@ -7,6 +7,7 @@ import pathlib
 import pytest
 from pyspark.sql import functions as F
 
+from riskloom import session
 from riskloom.operators import cleaning
 from riskloom.plans import online_queries
 from riskloom.sources import files, sinks
@@ -69,6 +70,17 @@ def test_insert_and_audit(spark, folder):
     assert sorted(p.relative_to(f"{folder}/audit").as_posix() for p in pathlib.Path(folder, "audit").glob("year=*/month=*/day=*")) == ["year=2024/month=03/day=05", "year=2024/month=12/day=31"]
 
 
+def test_stages_can_be_cleared(spark):
+    before = len(session._STAGES)
+    kept = session.stage(spark.range(3), "kept")
+    with session.staged(spark.range(5), "short") as short:
+        assert short.count() == 5 and kept.count() == 3
+    path = session._STAGES[-1]
+    assert pathlib.Path(path.removeprefix("file:")).exists()
+    session.clear_stages(spark, before)
+    assert not pathlib.Path(path.removeprefix("file:")).exists()
+
+
 def test_online_stream_is_replayable(spark):
     base = online_queries.run_stream(spark, SF)
     table = spark.read.schema(online.DECISION_SCHEMA).parquet(f"{base}/decisions")
