@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from riskloom.functions.columns import ratio_or_zero, severity
+from riskloom.functions.columns import severity
 from riskloom.operators.metrics import SCORE, evaluate, match_keys
-from riskloom.operators.ordering import exact_quantiles, quantile_grid, quantiles_of_counts, running_totals
+from riskloom.operators.ordering import exact_quantiles, place, quantile_grid, quantiles_of_counts, totals_along
 
 
 @dataclass(frozen=True)
@@ -67,12 +67,13 @@ def _value_counts(df: DataFrame, fields: Sequence[str]) -> DataFrame:
 def psi_by_field(ref: DataFrame, cur: DataFrame, fields: Sequence[str], bins: int = 10) -> DataFrame:
     """``field, psi``: shares between the reference's distinct quantile edges; current values outside
     the reference range are dropped, shares floored at 1e-9, 0 when there is nothing to compare."""
-    curve = running_totals(_value_counts(ref, fields), "value", ["n"], ["field"], descending=False)
+    placed = place(_value_counts(ref, fields), "value", ["field"], descending=False)
+    curve = totals_along(placed, "value", ["n"], ["field"], descending=False)
     q = quantiles_of_counts(curve, "value", quantile_grid(bins), ["field"])
     edges = q.select("field", F.array_sort(F.array_distinct(F.array(*[f"q{i}" for i in range(bins + 1)]))).alias("edges"))
-    # The staged curve already holds the reference counts: each side is read and grouped once.
+    # The staged table already holds the reference counts: each side is read and grouped once.
     none = F.lit(0).cast("bigint")
-    both = curve.select("field", "value", F.col("n").alias("ref"), none.alias("cur")).unionByName(
+    both = placed.select("field", "value", F.col("n").alias("ref"), none.alias("cur")).unionByName(
         _value_counts(cur, fields).select("field", "value", none.alias("ref"), F.col("n").alias("cur"))
     )
     # Edges hold one short array per configured field.

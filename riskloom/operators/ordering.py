@@ -51,20 +51,17 @@ def _ordinal(df: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
     )
 
 
-def running_totals(
-    df: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = (), descending: bool = True
-) -> DataFrame:
-    """Inclusive running totals ``cum_<s>`` and overall ``total_<s>`` along ``value`` in each ``by`` group.
+def place(df: DataFrame, value: str, by: Sequence[str] = (), descending: bool = True) -> DataFrame:
+    """Range-partition on (by, value), number the partitions ``_pid`` and stage the result."""
+    order = [*[F.col(b) for b in by], F.col(value).desc() if descending else F.col(value).asc()]
+    return stage(df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()), "totals")
 
-    ``df`` must hold one row per (by, value), that is, be pre-aggregated.
-    """
-    direction = F.col(value).desc() if descending else F.col(value).asc()
+
+def totals_along(placed: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = (), descending: bool = True) -> DataFrame:
+    """Running totals over a table of :func:`place`."""
     # One struct key per group: equal also when a grouping value is NULL, and the join below and the
     # window inside share its partitioning, so the rows move once.
-    group = F.struct(*[F.col(b) for b in by]) if by else F.lit(0)
-    placed = stage(
-        df.repartitionByRange(*[F.col(b) for b in by], direction).withColumn("_pid", F.spark_partition_id()), "totals"
-    ).withColumn("_g", group)
+    placed = placed.withColumn("_g", F.struct(*[F.col(b) for b in by]) if by else F.lit(0))
     per_part = placed.groupBy("_g", "_pid").agg(*[F.sum(s).alias(f"_part_{s}") for s in sums])
     whole = W.partitionBy("_g")
     before = whole.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
@@ -76,12 +73,23 @@ def running_totals(
     )
     if not by:
         offsets = F.broadcast(offsets)  # one row per range partition
+    direction = F.col(value).desc() if descending else F.col(value).asc()
     inside = W.partitionBy("_g", "_pid").orderBy(direction).rowsBetween(W.unboundedPreceding, W.currentRow)
     return placed.join(offsets, ["_g", "_pid"]).withColumns(
         {f"cum_{s}": F.col(f"_before_{s}") + F.sum(s).over(inside) for s in sums}
     ).drop("_g", "_pid", *[f"_before_{s}" for s in sums])
 
 
+def running_totals(
+    df: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = (), descending: bool = True
+) -> DataFrame:
+    """Inclusive running totals ``cum_<s>`` and overall ``total_<s>`` along ``value`` in each ``by`` group.
+
+    ``df`` must hold one row per (by, value), that is, be pre-aggregated.
+    """
+    return totals_along(place(df, value, by, descending), value, sums, by, descending)
+
+
 def quantile_grid(bins: int) -> list[float]:
     """0, 1/bins, ..., 1 as i * (1/bins): the doubles the edge definitions are based on."""
     return [i * (1.0 / bins) for i in range(bins)] + [1.0]

@@ -25,6 +25,8 @@ def get_spark(app: str = "riskloom", cores: str | None = None, **conf: str) -> S
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Call-site capture for every Column costs more than planning these queries.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 
 def audit_sink(df: DataFrame, path: str, ts: str = "processed_at", mode: str = "append") -> None:
