@@ -13,6 +13,9 @@ from riskloom.operators.joins import assert_unique
 from riskloom.operators.prep import COLUMNS_PER_PASS
 
 
+# The texts of the checks below are part of the result.
+
+
 @dataclass(frozen=True)
 class Contract:
     features: tuple[str, ...]

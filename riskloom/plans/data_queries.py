@@ -131,7 +131,7 @@ def _raw(spark, d):
 
 
 def _typed(spark, d):
-    return cleaning.coerce_frame(cleaning.dedupe_exact_keep_first(cleaning.trim_all(_raw(spark, d))))
+    return cleaning.coerce_frame(cleaning.dedupe_exact_keep_first(cleaning.trim_all(_raw(spark, d)), sources=["a.csv", "b.csv"]))
 
 
 @query("b3_trim_all", with_ctes(A.RAW) + "SELECT source_file, source_file_row_number, transaction_id, name_orig, is_fraud FROM raw")
@@ -307,7 +307,7 @@ def c9(spark, d):
 
 @query("d1_dedupe_exact", with_ctes(A.TYPED) + "SELECT source_file, source_file_row_number, transaction_id, name_orig, is_fraud FROM deduped")
 def d1(spark, d):
-    out = cleaning.dedupe_exact_keep_first(cleaning.trim_all(_raw(spark, d)))
+    out = cleaning.dedupe_exact_keep_first(cleaning.trim_all(_raw(spark, d)), sources=["a.csv", "b.csv"])
     return out.select("source_file", "source_file_row_number", "transaction_id", "name_orig", "is_fraud")
 
 
