@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riskloom.llm import decontaminate, simhash, toxicity
+from riskloom.llm import decontaminate, mixing, shards, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.schedule(mixing.mix(table(spark, sf_dir, "documents")))
+    source = F.when(F.col("key") != "-", F.substring("key", 2, 1 << 30)).alias("source")
+    return plan.select(F.col("id").alias("doc_id"), source, "tokens", F.round("weight", 9).alias("weight"), "epoch", "block", "position")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(toxicity.labelled_rows(docs, table(spark, sf_dir, "labels")))
@@ -21,15 +28,21 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.digest(shards.shuffle_shards(table(spark, sf_dir, "documents")))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return hits.withColumnRenamed("key", "doc_id")
 
 
 QUERIES = {
+    "op2_mixing": op2_mixing,
     "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
+    "op6_sharding": op6_sharding,
     "op9_decontamination": op9_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op2_mixing": mixing.ORACLE}
