@@ -259,16 +259,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", config: LeakConfig | None = None) -> DataFrame:
     """Rows of ``docs`` that hold no test item, with the columns they have."""
-    config = config or LeakConfig()
-    for index in _indexes(benchmark, config):
-        scan = _scan(index)
+    for index in _indexes(benchmark, config or LeakConfig()):
+        docs = docs.where(_clean(index)(F.col(text)))
+    return docs
 
-        @arrow_udf("boolean")
-        def clean(batch: pa.Array, scan=scan) -> pa.Array:
-            out = np.ones(len(batch), bool)
-            for hits in scan([pa.RecordBatch.from_arrays([pa.array(np.arange(len(batch))), batch], ["key", "text"])]):
-                out[hits.column(0).to_numpy()] = False
-            return pa.array(out)
 
-        docs = docs.where(clean(F.col(text)))
-    return docs
+def _clean(index: LeakIndex):
+    scan = _scan(index)
+
+    @arrow_udf("boolean")
+    def clean(batch: pa.Array) -> pa.Array:
+        out = np.ones(len(batch), bool)
+        for hits in scan([pa.RecordBatch.from_arrays([pa.array(np.arange(len(batch))), batch], ["key", "text"])]):
+            out[hits.column(0).to_numpy()] = False
+        return pa.array(out)
+
+    return clean
