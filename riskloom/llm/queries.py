@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontaminate, mixing, shards, simhash, toxicity
+from riskloom.llm import decontaminate, mixing, secrets, shards, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.digest(shards.shuffle_shards(table(spark, sf_dir, "documents")))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return hits.withColumnRenamed("key", "doc_id")
@@ -42,7 +46,8 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
     "op6_sharding": op6_sharding,
+    "op8_secrets": op8_secrets,
     "op9_decontamination": op9_decontamination,
 }
 
-ORACLES = {"op2_mixing": mixing.ORACLE}
+ORACLES = {"op2_mixing": mixing.ORACLE, "op8_secrets": secrets.ORACLE}
