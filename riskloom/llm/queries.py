@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontaminate, html, mixing, secrets, shards, simhash, toxicity
+from riskloom.llm import ann, decontaminate, main_text, mixing, secret_scan, shards, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.schedule(mixing.mix(table(spark, sf_dir, "documents")))
     source = F.when(F.col("key") != "-", F.substring("key", 2, 1 << 30)).alias("source")
@@ -29,7 +33,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.extract_pages(table(spark, sf_dir, "pages"))
+    return main_text.extract_pages(table(spark, sf_dir, "pages"))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +41,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.report(table(spark, sf_dir, "documents"))
+    return secret_scan.report(table(spark, sf_dir, "documents"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +50,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_multiprobe": op1_multiprobe,
     "op2_mixing": op2_mixing,
     "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
@@ -55,4 +60,4 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
 }
 
-ORACLES = {"op2_mixing": mixing.ORACLE, "op8_secrets": secrets.ORACLE}
+ORACLES = {"op2_mixing": mixing.ORACLE, "op8_secrets": secret_scan.ORACLE}
