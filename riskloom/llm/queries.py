@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import ann, decontaminate, main_text, mixing, secret_scan, shards, simhash, toxicity
+from riskloom.llm import ann, decontaminate, main_text, mixing, secret_scan, shards, simhash, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.withColumnRenamed("key", "doc_id")
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.document_counts(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_multiprobe": op1_multiprobe,
     "op2_mixing": op2_mixing,
@@ -58,6 +62,7 @@ QUERIES = {
     "op6_sharding": op6_sharding,
     "op8_secrets": op8_secrets,
     "op9_decontamination": op9_decontamination,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLES = {"op2_mixing": mixing.ORACLE, "op8_secrets": secret_scan.ORACLE}
