@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import ann, decontaminate, main_text, mixing, secret_scan, shards, simhash, token_files, toxicity
+from riskloom.llm import ann, decontaminate, gru, main_text, mixing, secret_scan, shards, simhash, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.digest(shards.shuffle_shards(table(spark, sf_dir, "documents")))
 
 
+def op7_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru.scores(table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_html": op5_html,
     "op6_sharding": op6_sharding,
+    "op7_gru": op7_gru,
     "op8_secrets": op8_secrets,
     "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
