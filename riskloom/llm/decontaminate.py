@@ -115,10 +115,10 @@ class LeakIndex:
         return at, np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count) + start[terms][at]
 
     @staticmethod
-    def _windows(chunk: np.ndarray, term: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct terms of each window of two chunks; a window has the number of its first."""
+    def _windows(chunk: np.ndarray, term: np.ndarray, size: int, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct terms of each window of two chunks; a window has the number of its first. ``first`` chunks begin a text."""
         pair = chunk * size + term
-        pair = np.sort(np.concatenate((pair, pair[chunk > 0] - size)))
+        pair = np.sort(np.concatenate((pair, pair[~first[chunk]] - size)))
         pair = pair[np.diff(pair, prepend=-1) != 0]
         return pair // size, pair % size
 
@@ -139,7 +139,9 @@ class LeakIndex:
         if not len(place):
             return []
         windows, size = int(chunks.sum()), len(self.start)
-        window, term = self._windows(place // stride, terms[place], size)
+        begins = np.zeros(windows, bool)
+        begins[first] = True
+        window, term = self._windows(place // stride, terms[place], size, begins)
         at, posting = self._expand(term, self.block_start)
         cell, back = np.unique(window[at] * self.blocks + self.block[posting], return_inverse=True)
         bound = np.bincount(back, self.block_top[posting], len(cell)) + self.slack[cell % self.blocks]
@@ -151,7 +153,7 @@ class LeakIndex:
         alive[cell // self.blocks] = True
         place = np.flatnonzero(terms >= 0)
         place = place[alive[place // stride] | alive[np.maximum(place // stride - 1, 0)]]
-        window, term = self._windows(place // stride, terms[place], size)
+        window, term = self._windows(place // stride, terms[place], size, begins)
         at, posting = self._expand(term, self.start)
         mine = np.isin(window[at] * self.blocks + self.item[posting] // self.config.block, cell)
         at, posting = at[mine], posting[mine]

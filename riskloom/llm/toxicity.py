@@ -230,7 +230,8 @@ def score(model: ToxicityModel, text: Column) -> Column:
             if len(neutral) > CACHE_WORDS:
                 neutral.clear()
             out[i] = bias + sum(weights[f] for f in sorted(hit))
-        return pa.array(1 / (1 + np.exp(-np.clip(out, -700, 700))))
+        with np.errstate(over="ignore"):
+            return pa.array(1 / (1 + np.exp(-out)))
 
     return run(text)
 
