@@ -225,12 +225,19 @@ def near_duplicates(docs: DataFrame, id_: str = "doc_id", text: str = "text", wo
 
 
 def keep_one(docs: DataFrame, id_: str = "doc_id", text: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
-    """Rows of ``docs``, one for each group of near duplicates: that of the smallest id (nulls last, then the first read).
+    """Rows of ``docs``, one for each group of near duplicates: that of the smallest id (nulls last, then by a digest of the text).
 
-    All columns stay as they are. Empty and null texts form one group, as they have one fingerprint.
+    All columns stay as they are. Empty and null texts form one group, as they have one fingerprint. Rows that repeat in id
+    and text count as one row; any of them stays. Only ids, digests and fingerprints are written in between.
     """
-    keyed = stage(docs.select(F.struct("*").alias("row"), F.col(id_).alias("id"), F.monotonically_increasing_id().alias("rid"), fingerprint(F.col(text), words).alias("fp")), "keep-one")
-    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("rid"))
-    least = classes(keyed.groupBy("fp").agg(F.min(order).alias("first")), radius)
-    kept = least.groupBy("class").agg(F.min("first").alias("first")).select(F.col("first.rid").alias("rid"))
-    return keyed.join(kept, "rid", "left_semi").select("row.*")
+    digest = F.xxhash64(F.col(text))
+    prints = docs.select(F.col(id_).alias("id"), digest.alias("digest"), fingerprint(F.col(text), words).alias("fp"))
+    rows = stage(prints.groupBy("id", "digest", "fp").agg(F.count("*").alias("n")), "keep-prints")
+    least = classes(rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest", "n")).alias("first")), radius)
+    kept = stage(least.groupBy("class").agg(F.min("first").alias("first")).select("first.id", "first.digest", "first.n"), "keep-rows")
+    keyed = docs.select(F.struct("*").alias("row"), F.col(id_).alias("_id"), digest.alias("_digest"))
+    joined = keyed.join(kept, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_digest") == F.col("digest")))
+    once = joined.where("n = 1").select("row.*")
+    if kept.where("n > 1").isEmpty():
+        return once
+    return once.union(joined.where("n > 1").groupBy("id", "digest").agg(F.first("row").alias("row")).select("row.*"))
