@@ -17,7 +17,6 @@ from riskloom.operators.fusion import fit_balanced_logistic, predictions
 from riskloom.operators.metrics import LABEL, PREDICTED, SCORE, evaluate, match_keys, resolve_threshold
 from riskloom.session import side_by_side
 
-MAX_INLINE_KNOTS = 32
 SELECTION_METRICS = ("brier_score", "log_loss", "expected_calibration_error")
 
 
@@ -72,28 +71,26 @@ def isotonic_fit(df: DataFrame) -> Knots:
 
 
 def isotonic_apply(score: Column | str, knots: Knots) -> Column:
-    """Clamp outside the knots, interpolate inside, identity without knots."""
+    """Clamp outside the knots, interpolate inside, identity without knots; NULL and NaN stay without a value."""
     s = F.col(score) if isinstance(score, str) else score
     if not knots.xs or len(knots.xs) != len(knots.ys):
         return s
-    if len(knots.xs) > MAX_INLINE_KNOTS:
-        return _interpolate(knots)(s)
-    xs, ys = (F.array(*[F.lit(float(v)) for v in side]) for side in (knots.xs, knots.ys))
-    below = F.size(F.filter(xs, lambda x: x < s))
-    x1, y1 = F.get(xs, below), F.get(ys, below)
-    x0, y0 = F.get(xs, below - 1), F.get(ys, below - 1)
-    inside = F.when(x1 == x0, y1).otherwise(y0 + (s - x0) / F.when(x1 != x0, x1 - x0) * (y1 - y0))
-    return F.when(s <= knots.xs[0], knots.ys[0]).when(s >= knots.xs[-1], knots.ys[-1]).otherwise(inside)
-
-
-def _interpolate(knots: Knots):
-    xs, ys = np.asarray(knots.xs), np.asarray(knots.ys)
+    xs, ys = np.asarray(knots.xs, float), np.asarray(knots.ys, float)
 
     @F.pandas_udf("double")
     def interpolate(score: pd.Series) -> pd.Series:
-        return pd.Series(np.interp(score.to_numpy(dtype=float), xs, ys)).where(score.notna())
-
-    return interpolate
+        x = score.to_numpy(dtype=float)
+        # The first knot not below the score; on repeated knots so the first of them decides.
+        upper = np.clip(np.searchsorted(xs, x, side="left"), 1, max(len(xs) - 1, 1))
+        upper = np.minimum(upper, len(xs) - 1)
+        lower = np.maximum(upper - 1, 0)
+        gap = xs[upper] - xs[lower]
+        share = np.divide(x - xs[lower], gap, out=np.ones_like(x), where=gap != 0)
+        inside = ys[lower] + share * (ys[upper] - ys[lower])
+        out = np.where(x <= xs[0], ys[0], np.where(x >= xs[-1], ys[-1], inside))
+        return pd.Series(out).where(~np.isnan(x))
+
+    return interpolate(s)
 
 
 def expected_calibration_error(df: DataFrame, bins: int = 10, by: Sequence[str] = ()) -> DataFrame:

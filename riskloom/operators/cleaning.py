@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from riskloom.functions import columns as C
 from riskloom.operators.joins import assert_unique
 from riskloom.operators.ordering import global_ordinal
-from riskloom.operators.schema import PROVENANCE, TransactionSchema, normalize_columns, resolve_schema
+from riskloom.operators.schema import PROVENANCE, TYPED_ROLES, assign_roles, normalize_columns, typed_columns
 from riskloom.session import stage
 
 # Columns that make up the composed account ids of card data.
@@ -29,16 +29,13 @@ def join_side_table(tx: DataFrame, side: DataFrame, key: str = "transaction_id",
     return tx.join(side, key, "left")
 
 
-def number_rows(df: DataFrame, name: str, order: Sequence[str], drop_order: bool = True) -> DataFrame:
-    """Tag one source with its name and 1-based row numbers in the given order."""
-    numbered = global_ordinal(df, order, "source_row_number")
-    keep = [c for c in df.columns if not (drop_order and c in order)]
-    return numbered.select(
-        "source_row_number",
-        F.lit(name).alias("source_file"),
-        F.col("source_row_number").alias("source_file_row_number"),
-        *keep,
-    )
+def number_sources(df: DataFrame, order: Sequence[str], drop_order: bool = True) -> DataFrame:
+    """Number the rows of each ``source_file`` from 1 in the given order: one range sort for all sources together."""
+    ranked = global_ordinal(df, ["source_file", *order], "_ordinal")
+    starts = ranked.groupBy("source_file").agg((F.min("_ordinal") - 1).alias("_start"))
+    row = F.col("_ordinal") - F.col("_start")
+    keep = [c for c in df.columns if c != "source_file" and not (drop_order and c in order)]
+    return ranked.join(starts, "source_file").select(row.alias("source_row_number"), "source_file", row.alias("source_file_row_number"), *keep)
 
 
 def union_sources(frames: Mapping[str, DataFrame], order: Sequence[str], drop_order: bool = True) -> DataFrame:
@@ -50,10 +47,9 @@ def union_sources(frames: Mapping[str, DataFrame], order: Sequence[str], drop_or
         frame = frames[name]
         payload = [c for c in frame.columns if c not in order]
         renamed = dict(zip(payload, normalize_columns(payload)))
-        frame = frame.toDF(*[renamed.get(c, c) for c in frame.columns])
-        part = number_rows(frame, name, order, drop_order)
+        part = frame.toDF(*[renamed.get(c, c) for c in frame.columns]).withColumn("source_file", F.lit(name))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
+    return number_sources(out, order, drop_order)
 
 
 def trim_all(df: DataFrame, skip: Sequence[str] = PROVENANCE) -> DataFrame:
@@ -83,64 +79,66 @@ def canonicalize(df: DataFrame) -> DataFrame:
     return df.withColumns(extra)
 
 
-ROW_BITS = 40
+#: A row number takes the lower 19 decimal digits, which hold any 64-bit number.
+ROW_DIGITS = 10**19
 
 
-def dedupe_exact_keep_first(
-    df: DataFrame, order: Sequence[str] = ("source_file", "source_file_row_number"), ignore: Sequence[str] = PROVENANCE, sources: Sequence[str] | None = None
-) -> DataFrame:
+def dedupe_exact_keep_first(df: DataFrame, order: Sequence[str] = ("source_file", "source_file_row_number"), ignore: Sequence[str] = PROVENANCE, sources: Sequence[str] | None = None) -> DataFrame:
     """Keep the first of rows equal in every payload column (NULL equals NULL).
 
     A grouped minimum of the provenance: copies collapse before the shuffle, so a group of
     copies that makes up most of the table is no hot spot. With the ordered list of ``sources`` the
-    provenance fits one number and the aggregation hashes; otherwise Spark has to sort the groups.
+    first file and row are one decimal number and the aggregation hashes; otherwise Spark has to sort the groups.
+    The row number within the table is expected to be that within the file, as :func:`union_sources` gives it.
     """
     payload = [c for c in df.columns if c not in ignore]
     provenance = [c for c in df.columns if c in ignore]
     if sources is None:
         first = F.min_by(F.struct(*provenance), F.struct(*order)).alias("_first")
         return df.groupBy(*payload).agg(first).select(*payload, "_first.*").select(*df.columns)
+    wide = "decimal(38,0)"
+    place = F.create_map(*[x for i, s in enumerate(sources) for x in (F.lit(s), F.lit(i))])[F.col("source_file")]
+    packed = (place.cast("decimal(10,0)") * F.lit(str(ROW_DIGITS)).cast("decimal(20,0)")).cast(wide) + F.col("source_file_row_number").cast("decimal(19,0)")
+    distinct = df.groupBy(*payload).agg(F.min(packed.cast(wide)).alias("_first"))
+    row = (F.col("_first") % F.lit(str(ROW_DIGITS)).cast("decimal(20,0)")).cast("bigint")
+    at = F.floor(F.col("_first") / F.lit(str(ROW_DIGITS)).cast("decimal(20,0)")).cast("int")
     names = F.array(*[F.lit(s) for s in sources])
-    packed = F.shiftleft(F.array_position(names, F.col("source_file")).cast("bigint"), ROW_BITS) + F.col("source_file_row_number")
-    row = F.col("_first").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
-    unpacked = {
-        "source_file": F.element_at(names, F.shiftright("_first", ROW_BITS).cast("int")),
-        "source_row_number": row,
-        "source_file_row_number": row,
-    }
-    distinct = df.groupBy(*payload).agg(F.min(packed).alias("_first"))
+    unpacked = {"source_file": F.get(names, at), "source_row_number": row, "source_file_row_number": row}
     return distinct.select(*[unpacked[c].alias(c) if c in unpacked else F.col(c) for c in df.columns])
 
 
-def coerce_frame(df: DataFrame, schema: TransactionSchema | None = None) -> DataFrame:
+Roles = Mapping[str, Sequence[str]]
+
+
+def coerce_frame(df: DataFrame, roles: Roles | None = None) -> DataFrame:
     """Typed columns plus one ``invalid_<column>`` flag for each of them, in one projection."""
-    schema = schema or resolve_schema(df.columns)
+    roles = roles or assign_roles(df.columns)
     types = {f.name: f.dataType for f in df.schema.fields}
-    rules = (
-        (schema.numeric, C.coerce_numeric, T.DoubleType),
-        (schema.integer, C.coerce_integer, T.LongType),
-        (schema.boolean, C.coerce_boolean, T.BooleanType),
-        (schema.timestamp, C.coerce_timestamp, T.TimestampType),
-    )
+    rules = {
+        "number": (C.coerce_numeric, T.DoubleType), "whole": (C.coerce_integer, T.LongType),
+        "flag": (C.coerce_boolean, T.BooleanType), "time": (C.coerce_timestamp, T.TimestampType),
+    }
     typed = {}
-    for names, rule, ready in rules:
-        for name in names:
+    for role in TYPED_ROLES:
+        rule, ready = rules[role]
+        for name in roles[role]:
             typed[name] = F.col(name) if isinstance(types[name], ready) else rule(name)
     values = [typed[c].alias(c) if c in typed else F.col(c) for c in df.columns]
     flags = [C.parse_failure(F.col(c), e).alias(f"invalid_{c}") for c, e in typed.items()]
     return df.select(*values, *flags)
 
 
-def reject_reasons(df: DataFrame, schema: TransactionSchema | None = None) -> DataFrame:
+def reject_reasons(df: DataFrame, roles: Roles | None = None) -> DataFrame:
     """Append ``reasons array<string>``; expects the flags of :func:`coerce_frame`."""
-    schema = schema or resolve_schema([c for c in df.columns if not c.startswith("invalid_")])
-    checks = {f"invalid_{c}": F.col(f"invalid_{c}") for c in schema.typed if f"invalid_{c}" in df.columns}
-    bad_balance = [checks[f"invalid_{c}"] for c in schema.balance if f"invalid_{c}" in checks]
-    if schema.required:
-        checks["missing_required_id"] = C.missing_required(schema.required)
+    roles = roles or assign_roles([c for c in df.columns if not c.startswith("invalid_")])
+    typed = typed_columns(roles)
+    checks = {f"invalid_{c}": F.col(f"invalid_{c}") for c in typed if f"invalid_{c}" in df.columns}
+    bad_balance = [checks[f"invalid_{c}"] for c in roles["balance"] if f"invalid_{c}" in checks]
+    if roles["key"]:
+        checks["missing_required_id"] = C.missing_required(roles["key"])
     if "amount" in df.columns:
         checks["negative_amount"] = C.negative_value("amount")
-    typed_balances = [c for c in schema.balance if c in schema.typed]
+    typed_balances = [c for c in roles["balance"] if c in typed]
     if typed_balances:
         checks["negative_balance"] = C.negative_any(typed_balances)
     if bad_balance:
@@ -160,11 +158,11 @@ def quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return clean, df.where(F.size("reasons") > 0).drop(*flags)
 
 
-def assign_transaction_order(df: DataFrame, schema: TransactionSchema | None = None, out: str = "transaction_order") -> DataFrame:
+def assign_transaction_order(df: DataFrame, roles: Roles | None = None, out: str = "transaction_order") -> DataFrame:
     """Number the transactions by time (else step), then source; NULL times come last."""
-    schema = schema or resolve_schema(df.columns)
+    roles = roles or assign_roles(df.columns)
     order = []
-    times = [c for c in schema.order if "timestamp" in c]
+    times = [c for c in roles["sequence"] if "timestamp" in c]
     if times:
         df = df.withColumnRenamed(times[0], "transaction_timestamp")
         order.append("transaction_timestamp")

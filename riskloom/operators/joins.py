@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from riskloom.functions import columns as C
 from riskloom.operators.ordering import global_ordinal
+from riskloom.session import stage
 
 
 def assert_unique(df: DataFrame, key: str) -> DataFrame:
@@ -29,71 +32,85 @@ def subset_by_ids(df: DataFrame, ids: DataFrame, key: str = "transaction_id", po
     return df.join(ids.select(key, position), key)
 
 
+def branches_by_id(frames: Mapping[str, DataFrame]) -> DataFrame:
+    """One row per id with, for each branch in turn, its number of rows, least and largest label, score and predicted label.
+
+    All branches are one tagged table, grouped once: every check and the wide row come from this one shuffle.
+    """
+    tagged = None
+    for i, frame in enumerate(frames.values()):
+        part = frame.select(
+            F.col("transaction_id").cast("string").alias("transaction_id"), F.lit(i).alias("_b"), "is_fraud",
+            *[F.col(c) if c in frame.columns else F.lit(None).cast(t).alias(c) for c, t in (("score", "double"), ("predicted_label", "int"))],
+        )
+        tagged = part if tagged is None else tagged.unionByName(part)
+    columns = []
+    for i in range(len(frames)):
+        mine = F.col("_b") == i
+        columns += [
+            F.count_if(mine).alias(f"_n{i}"), F.min(F.when(mine, F.col("is_fraud"))).alias(f"_low{i}"), F.max(F.when(mine, F.col("is_fraud"))).alias(f"_high{i}"),
+            F.max(F.when(mine, F.col("score"))).alias(f"_score{i}"), F.max(F.when(mine, F.col("predicted_label"))).alias(f"_label{i}"),
+        ]
+    return tagged.groupBy("transaction_id").agg(*columns)
+
+
+def _disagrees(i: int) -> Column:
+    """The branch lacks the base's label or contradicts it."""
+    return F.col(f"_low{i}").isNull() | ~F.col(f"_low{i}").eqNullSafe(F.col("_low0")) | ~F.col(f"_high{i}").eqNullSafe(F.col("_high0"))
+
+
 def join_branches(frames: Mapping[str, DataFrame], check: bool = True) -> DataFrame:
     """One wide row per transaction from the prediction tables of several branches.
 
     The first branch is the base; ids must be unique in each and complete against the base, labels
-    must agree. Each join is a plain equi-join on the id: the planner picks broadcast or sort-merge.
+    must agree. The grouped table is staged, checked in one aggregate and returned.
     """
     names = list(frames)
+    wide = branches_by_id(frames)
     if check:
-        for name in names:
-            if not assert_unique(frames[name], "transaction_id").isEmpty():
+        wide = stage(wide, "branches")
+        others = range(1, len(names))
+        wrong = wide.agg(
+            *[F.count_if(F.col(f"_n{i}") > 1).alias(f"d{i}") for i in range(len(names))],
+            F.count_if((F.col("_n0") > 0) & C.any_of([_disagrees(i) for i in others])).alias("labels") if others else F.lit(0).alias("labels"),
+        ).first()
+        for i, name in enumerate(names):
+            if wrong[f"d{i}"]:
                 raise ValueError(f"{name} has duplicate transaction ids")
-        if not label_consistency(frames).isEmpty():
+        if wrong["labels"]:
             raise ValueError("labels differ between branches or are missing")
-    out = _renamed(frames[names[0]], names[0])
-    for name in names[1:]:
-        out = out.join(_renamed(frames[name], name).drop("is_fraud"), "transaction_id", "left")
-    order = [f"{n}_{suffix}" for n in names for suffix in ("score", "predicted_label")]
-    return out.select("transaction_id", "is_fraud", *order)
-
-
-def _renamed(df: DataFrame, name: str) -> DataFrame:
-    return df.select(
-        F.col("transaction_id").cast("string").alias("transaction_id"),
-        "is_fraud",
-        F.col("score").alias(f"{name}_score"),
-        F.col("predicted_label").alias(f"{name}_predicted_label"),
-    )
+    columns = [F.col(f"_{kind}{i}").alias(f"{n}_{suffix}") for i, n in enumerate(names) for kind, suffix in (("score", "score"), ("label", "predicted_label"))]
+    return wide.where("_n0 > 0").select("transaction_id", F.col("_low0").alias("is_fraud"), *columns)
 
 
 def label_consistency(frames: Mapping[str, DataFrame]) -> DataFrame:
     """Base ids whose label another branch lacks or contradicts."""
     names = list(frames)
-    base = frames[names[0]].select("transaction_id", F.col("is_fraud").alias("base_label"))
-    out = None
-    for name in names[1:]:
-        other = frames[name].select("transaction_id", F.col("is_fraud").alias("other_label"))
-        part = (
-            base.join(other, "transaction_id", "left")
-            .where(~F.col("base_label").eqNullSafe(F.col("other_label")) | F.col("other_label").isNull())
-            .select("transaction_id", F.lit(name).alias("branch"), "base_label", "other_label")
-        )
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    if len(names) < 2:
         raise ValueError("two branches at least are needed")
-    return out
+    found = [
+        F.when(_disagrees(i), F.struct(F.lit(n).alias("branch"), F.col("_low0").alias("base_label"), F.col(f"_low{i}").alias("other_label")))
+        for i, n in enumerate(names) if i
+    ]
+    rows = branches_by_id(frames).where("_n0 > 0").select("transaction_id", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("x"))
+    return rows.select("transaction_id", "x.branch", "x.base_label", "x.other_label")
 
 
 def id_diagnostics(frames: Mapping[str, DataFrame], samples: int = 5) -> DataFrame:
     """Ids missing from and extra in each branch against the base: counts and the first few."""
     names = list(frames)
-    base = frames[names[0]].select("transaction_id").distinct()
-    out = None
-    for name in names[1:]:
-        other = frames[name].select("transaction_id").distinct()
-        for kind, ids in (
-            ("missing", base.join(other, "transaction_id", "left_anti")),
-            ("extra", other.join(base, "transaction_id", "left_anti")),
-        ):
-            count = ids.agg(F.count(F.lit(1)).alias("n"), F.lit(1).alias("_one"))
-            first = ids.orderBy("transaction_id").limit(samples).agg(
-                F.array_join(F.array_sort(F.collect_list("transaction_id")), ",").alias("samples"), F.lit(1).alias("_one")
-            )
-            part = count.join(first, "_one").select(F.lit(name).alias("branch"), F.lit(kind).alias("kind"), "n", "samples")
-            out = part if out is None else out.unionByName(part)
-    return out
+    kinds, found = [], []
+    for i, name in enumerate(names[1:], 1):
+        for kind, where in (("missing", (F.col("_n0") > 0) & (F.col(f"_n{i}") == 0)), ("extra", (F.col("_n0") == 0) & (F.col(f"_n{i}") > 0))):
+            label = F.struct(F.lit(name).alias("branch"), F.lit(kind).alias("kind"))
+            kinds.append(label)
+            found.append(F.when(where, label))
+    odd = branches_by_id(frames).select("transaction_id", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("x"))
+    first = odd.withColumn("_rank", F.row_number().over(W.partitionBy("x").orderBy("transaction_id"))).where(F.col("_rank") <= samples)
+    listed = first.groupBy("x").agg(F.array_join(F.array_sort(F.collect_list("transaction_id")), ",").alias("samples"))
+    counts = odd.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    every = frames[names[0]].sparkSession.range(1).select(F.explode(F.array(*kinds)).alias("x"))
+    return every.join(counts, "x", "left").join(listed, "x", "left").select("x.branch", "x.kind", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("samples", F.lit("")).alias("samples"))
 
 
 def missing_by_column(df: DataFrame) -> DataFrame:

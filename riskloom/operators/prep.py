@@ -134,13 +134,17 @@ def anova_scores(df: DataFrame, cols: Sequence[str], label: str = "is_fraud") ->
     """One-way F statistic of each feature over the label classes: ``column, position, f``."""
     per_class = wide_stats(df.where(F.col(label).isNotNull()), cols, [label])
     sums = per_class.groupBy("column", "position").agg(
-        F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum("total").alias("t"), F.sum("squares").alias("s"),
-        F.sum(F.col("total") * F.col("total") / F.col("n")).alias("_between"),
+        F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"),
+        (F.sum("total") / F.sum("n")).alias("_mean"), F.collect_list(F.struct("n", "mean")).alias("_classes"),
+        # From the deviations of each class: squares of large values would cancel.
+        F.sum(F.col("n") * F.col("std") * F.col("std")).alias("_within"),
         F.min("low").alias("low"), F.max("high").alias("high"),
     )
-    mean_part = F.col("t") * F.col("t") / F.col("n")
-    between = (F.col("_between") - mean_part) / (F.col("k") - 1)
-    within = (F.col("s") - F.col("_between")) / (F.col("n") - F.col("k"))
+    # One entry for each class; deviations of means, not differences of squares.
+    spread = F.aggregate("_classes", F.lit(0.0), lambda acc, c: acc + c["n"] * (c["mean"] - F.col("_mean")) * (c["mean"] - F.col("_mean")))
+    between = F.try_divide(spread, F.col("k") - 1)
+    # As many rows as classes leave nothing within them: the score is then infinite.
+    within = F.coalesce(F.try_divide("_within", F.col("n") - F.col("k")), F.lit(0.0))
     usable = (F.col("k") > 1) & (F.col("low") < F.col("high"))
     f = F.when(usable & (within > 0), between / within).when(usable, F.lit(float("inf")))
     return sums.select("column", "position", "k", (F.col("low") < F.col("high")).alias("varies"), f.alias("f"))

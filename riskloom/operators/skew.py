@@ -20,33 +20,24 @@ from riskloom.operators.ordering import nulls_last
 from riskloom.session import stage
 
 HOT_ROWS = 5_000_000
-MAX_HOT_KEYS = 10_000
 
 Step = Callable[[list[str], list[Column]], dict[str, Column]]
 
 
 def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> tuple[DataFrame | None, int]:
-    """Keys with more than ``hot_rows`` rows and their total row count.
+    """All keys with more than ``hot_rows`` rows as a staged table, and their total row count.
 
-    At most MAX_HOT_KEYS come back: any further key holds less than 1/10,000 of the table and is
-    handled by the ordinary plan, so the broadcast below has a fixed size bound.
+    There may be any number of them; only the total comes to the driver.
     """
-    top = (
-        df.groupBy(F.col(key).alias("_hot")).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows)
-        .orderBy(F.desc("_rows")).limit(MAX_HOT_KEYS).collect()
-    )
-    if not top:
-        return None, 0
-    schema = df.select(F.col(key).alias("_hot")).schema
-    schema["_hot"].nullable = True
-    keys = df.sparkSession.createDataFrame([(r[0],) for r in top], schema)
-    return keys, sum(r["_rows"] for r in top)
+    counts = df.groupBy(F.col(key).alias("_hot")).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows)
+    total = counts.agg(F.sum("_rows")).first()[0]
+    return (stage(counts, "hot-keys").select("_hot"), total) if total else (None, 0)
 
 
 def split_hot(df: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(ordinary rows, hot rows); a NULL key is a key like any other."""
+    """(ordinary rows, hot rows); a NULL key is a key like any other. How to join is the planner's choice."""
     match = df[key].eqNullSafe(keys["_hot"])
-    return df.join(F.broadcast(keys), match, "left_anti"), df.join(F.broadcast(keys), match, "left_semi")
+    return df.join(keys, match, "left_anti"), df.join(keys, match, "left_semi")
 
 
 def segment(df: DataFrame, key: str, order: Sequence[str], segments: int) -> DataFrame:
@@ -58,7 +49,7 @@ def segment(df: DataFrame, key: str, order: Sequence[str], segments: int) -> Dat
 
 
 def segments_for(rows: int, hot_rows: int) -> int:
-    return max(2, min(10_000, 2 * rows // max(hot_rows, 1) + 1))
+    return max(2, 2 * rows // max(hot_rows, 1) + 1)
 
 
 def _last(items: Column, n: int) -> Column:

@@ -238,12 +238,6 @@ def b12(spark, d):
     return history.derive_transaction_id(A.txn(spark, d).drop("transaction_id")).select("transaction_order", "current_transaction_id")
 
 
-@query("b15_feature_registry")
-def b15(spark, d):
-    t = A.txn(spark, d)
-    return features.feature_registry(history.behavioral_features(t), "behavioral_features", t.columns)
-
-
 # --- validation ----------------------------------------------------------------------------
 
 @query("c1_non_empty", with_ctes(A.TXN) + "SELECT transaction_id, coalesce(trim(name_dest) <> '', false) AS filled FROM txn")
@@ -486,6 +480,20 @@ def f6(spark, d):
     return rounded(out.select("transaction_id", micros, *doubles, *counts), *doubles)
 
 
+_HOT_TXN = A.TXN.replace("concat('u', CAST(user_id AS VARCHAR)) AS name_orig", "CASE WHEN event_id % 10 < 7 THEN 'hot' ELSE concat('u', CAST(user_id AS VARCHAR)) END AS name_orig")
+
+
+@query("f6_behavioral_features_hot", with_ctes(_HOT_TXN, _F5_CTE) + f"SELECT transaction_id, {_F1}, {_F2}, {_F3}, {_F4}, {_F5} FROM numbered")
+def f6_hot(spark, d):
+    """One account holds most rows and is above the bound: segments with a halo."""
+    t = A.txn(spark, d).withColumn("name_orig", F.when(F.col("transaction_order") % 10 < 7, "hot").otherwise(F.col("name_orig")))
+    out = history.behavioral_features(t, hot_rows=500)
+    micros = F.unix_micros(F.col("previous_transaction_timestamp").cast("timestamp")).alias("previous_micros")
+    doubles = ["previous_transaction_amount", *_STD, "seconds_since_previous_transaction"]
+    counts = [f"prior_{k}_{n}_count" for k in (5, 10) for n in ("transaction", "unique_name_dest")]
+    return rounded(out.select("transaction_id", micros, *doubles, *counts), *doubles)
+
+
 def _seq_sql(length: int = 10) -> str:
     terms = []
     for k in range(length, 0, -1):

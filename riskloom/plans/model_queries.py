@@ -354,6 +354,21 @@ def k3(spark, d):
     return rounded(_pred(spark, d).select("transaction_id", calibration.isotonic_apply("score", _KNOTS).alias("calibrated")), "calibrated")
 
 
+# 65 knots and one repeated: the first of them decides on the knot, the second above it.
+_LONG_KNOTS = calibration.Knots(
+    (*[i / 64 for i in range(17)], 0.25, *[i / 64 for i in range(17, 65)]), (*[i / 64 for i in range(17)], 0.3, *[0.05 + 0.95 * i / 64 for i in range(17, 65)])
+)
+
+
+@query("k3_isotonic_apply_long", with_ctes(A.SCORED) + """
+SELECT transaction_id, round(CASE WHEN s <= 0.25::DOUBLE THEN greatest(s, 0) WHEN s >= 1 THEN 1 WHEN s <= 0.265625::DOUBLE THEN 0.3 + (s - 0.25) * 64 * 0.00234375 ELSE 0.05 + 0.95 * s END, 6) AS calibrated
+FROM (SELECT transaction_id, CASE WHEN score >= 0.5::DOUBLE AND score < 0.51::DOUBLE THEN 0.25::DOUBLE ELSE score END AS s FROM scored)""")
+def k3_long(spark, d):
+    """Some scores are put on the repeated knot."""
+    score = F.when((F.col("score") >= 0.5) & (F.col("score") < 0.51), 0.25).otherwise(F.col("score"))
+    return rounded(_pred(spark, d).select("transaction_id", calibration.isotonic_apply(score, _LONG_KNOTS).alias("calibrated")), "calibrated")
+
+
 _ECE_BIN = " + ".join(f"CASE WHEN p >= {i / 10 if i != 3 and i != 6 and i != 7 else repr(i * 0.1)}::DOUBLE THEN 1 ELSE 0 END" for i in range(1, 10))
 
 

@@ -96,6 +96,15 @@ def d11(spark, d):
     return rounded(out, "avg_amount", "std_dev_amount", digits=4)
 
 
+@query("d11_as_of_profile_hot", _ASOF_ALL + """
+SELECT transaction_id, tx_count, round(avg_amount + 1e-7, 4) AS avg_amount, round(std_dev_amount + 1e-7, 4) AS std_dev_amount, tx_last_10min, tx_last_hour, last_country, country_is_new, destination_is_new FROM before_event""")
+def d11_hot(spark, d):
+    """All users above the bound: segments with carried state."""
+    out = profiles.as_of_profile(A.clicks(spark, d), order=CLICK_ORDER, hot_rows=150)
+    out = out.select("transaction_id", "tx_count", *_nudged(), "tx_last_10min", "tx_last_hour", "last_country", "country_is_new", "destination_is_new")
+    return rounded(out, "avg_amount", "std_dev_amount", digits=4)
+
+
 @query("m1_rule_score", _ASOF_ALL + """
 , flags AS (SELECT transaction_id, std_dev_amount <> 0 AND amount > avg_amount + 2 * std_dev_amount AS flag_amount, tx_count > 0 AND country_is_new AS flag_country, tx_last_10min >= 3 AS flag_velocity, tx_count > 0 AND destination_is_new AS flag_destination FROM before_event),
 s AS (SELECT *, CASE WHEN flag_amount THEN 30 ELSE 0 END + CASE WHEN flag_country THEN 25 ELSE 0 END + CASE WHEN flag_velocity THEN 35 ELSE 0 END + CASE WHEN flag_destination THEN 10 ELSE 0 END AS rule_score FROM flags)
@@ -395,13 +404,29 @@ def o9(spark, d):
     return rounded(out.withColumn("window_start", F.unix_seconds("window_start")), "mean_latency_ms")
 
 
-@query("o10_retraining_triggers")
+def _retraining_sql() -> str:
+    limits = {
+        "score_drift_psi": 0.25, "precision_drop_absolute": 0.08, "recall_drop_absolute": 0.08, "brier_score_increase_absolute": 0.02,
+        "contract_mismatch_rate": 0.01, "data_volume_growth_ratio": 1.25, "minimum_new_rows": 50_000.0, "label_coverage_ratio": 0.9,
+    }
+    side = """SELECT count(*)::DOUBLE AS n, avg(CASE WHEN calibrated_score >= 0.5::DOUBLE THEN is_fraud::DOUBLE END) AS precision,
+      avg(CASE WHEN is_fraud = 1 THEN (calibrated_score >= 0.5::DOUBLE)::INTEGER::DOUBLE END) AS recall, avg((calibrated_score - is_fraud) * (calibrated_score - is_fraud)) AS brier,
+      avg((index % 300 = 0)::INTEGER::DOUBLE) AS mismatch, avg((is_fraud IS NOT NULL)::INTEGER::DOUBLE) AS coverage FROM decisions WHERE split = """
+    values = {
+        "score_drift_psi": "psi", "precision_drop_absolute": "coalesce(a.precision, 0) - coalesce(b.precision, 0)", "recall_drop_absolute": "coalesce(a.recall, 0) - coalesce(b.recall, 0)",
+        "brier_score_increase_absolute": "b.brier - a.brier", "contract_mismatch_rate": "b.mismatch", "data_volume_growth_ratio": "b.n / a.n", "minimum_new_rows": "b.n", "label_coverage_ratio": "b.coverage",
+    }
+    rows = " UNION ALL ".join(f"SELECT '{k}' AS trigger, round(({values[k]})::DOUBLE, 6) AS value, {limits[k]}::DOUBLE AS \"limit\", ({values[k]}) >= {limits[k]}::DOUBLE AS fired FROM a, b, p" for k in limits)
+    return with_ctes(A.DECISIONS, *_PARTS, psi_sql("ref", "cur", "calibrated_score", "p"), f"a AS ({side}'valid')", f"b AS ({side}'test')") + rows
+
+
+@query("o10_retraining_triggers", _retraining_sql())
 def o10(spark, d):
     x = A.decisions(spark, d).select(
         "transaction_id", "is_fraud", "calibrated_score", F.col("calibrated_score").alias("score"), (F.col("calibrated_score") >= 0.5).cast("int").alias("predicted_label"),
         (F.col("index") % 300 == 0).alias("contract_mismatch"), "split",
     )
-    return monitoring.retraining_triggers(x.where(F.col("split") == "valid"), x.where(F.col("split") == "test"))
+    return rounded(monitoring.retraining_triggers(x.where(F.col("split") == "valid"), x.where(F.col("split") == "test")), "value")
 
 
 # --- reports ----------------------------------------------------------------------------------------
@@ -527,7 +552,9 @@ def r3(spark, d):
 @query("r4_train_branch")
 def r4(spark, d):
     train, test = _model_data(spark, d)
-    out = models.train_branch(train, train, test, Contract(FEATURES), lambda t, f: models.fit_random_forest(t, f, SMALL_FOREST))
+    # A part of its own to validate on, by a hash of the id.
+    kept = F.pmod(F.xxhash64("transaction_id"), F.lit(5)) > 0
+    out = models.train_branch(train.where(kept), train.where(~kept), test, Contract(FEATURES), lambda t, f: models.fit_random_forest(t, f, SMALL_FOREST))
     return out.metrics
 
 

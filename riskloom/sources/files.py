@@ -13,16 +13,19 @@ from pyspark.sql import types as T
 
 from riskloom.functions.columns import NA_TOKENS, null_tokens
 
-BINARY_LIMIT = 2_000_000_000
 FILE_POSITION = ("_file", "_block", "_pos")
 
 
-def read_raw_csv(spark: SparkSession, path: str | Sequence[str], na_tokens: Sequence[str] = NA_TOKENS, positions: bool = False) -> DataFrame:
+def read_raw_csv(
+    spark: SparkSession, path: str | Sequence[str], na_tokens: Sequence[str] = NA_TOKENS, positions: bool = False, line_breaks: bool = False
+) -> DataFrame:
     """CSV with every field as text; the missing-value tokens become NULL.
 
     With ``positions`` the columns of FILE_POSITION order the rows as they stand in their file.
+    ``line_breaks`` allows them in quoted fields; each file is then read by one task, so it is off by default.
     """
-    raw = spark.read.option("header", True).option("inferSchema", False).option("enforceSchema", False).csv(path)
+    reader = spark.read.option("header", True).option("inferSchema", False).option("enforceSchema", False)
+    raw = reader.option("multiLine", line_breaks).option("escape", '"' if line_breaks else "\\").csv(path)
     fields = [null_tokens(F.col(f"`{c}`"), na_tokens).alias(c) for c in raw.columns]
     if positions:
         fields += [
@@ -89,23 +92,28 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 # --- checksums --------------------------------------------------------------------------
 
 def file_checksums(spark: SparkSession, folder: str) -> DataFrame:
-    """``path, size_bytes, sha256`` of every file below ``folder`` except dotfiles.
+    """``path, size_bytes, sha256`` of every file below ``folder`` except dotfiles, empty files included.
 
-    Spark's file scan passes over files of zero length, so these are not listed.
+    Files are hashed in chunks where they lie, whatever their size; only names and sizes are listed before.
     """
     files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-        .withColumn("_name", F.element_at(F.split("path", "/"), -1))
-        .where(~F.col("_name").startswith("."))
-    )
-    small = files.where(F.col("length") < BINARY_LIMIT).select(
-        "path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256")
-    )
-    # Files of 2 GB and more do not fit one binary cell: hash them in chunks where they lie.
-    large = files.where(F.col("length") >= BINARY_LIMIT).select("path", F.col("length").alias("size_bytes"))
-    return small.unionByName(
-        large.mapInPandas(_hash_in_chunks, "path string, size_bytes bigint, sha256 string")
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.col("length").alias("size_bytes"))
+        .where(~F.element_at(F.split("path", "/"), -1).startswith("."))
     )
+    kind = "path string, size_bytes bigint, sha256 string"
+    return files.mapInPandas(_hash_in_chunks, kind).unionByName(_empty_files(spark, folder, kind))
+
+
+def _empty_files(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    """Files of zero length, which Spark's file scan passes over; metadata only."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    listing = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True)
+    nothing, rows = hashlib.sha256().hexdigest(), []
+    while listing.hasNext():
+        status = listing.next()
+        if status.getLen() == 0 and not status.getPath().getName().startswith((".", "_")):
+            rows.append((status.getPath().toString(), 0, nothing))
+    return spark.createDataFrame(rows, kind)
 
 
 def _hash_in_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,7 +144,7 @@ def verify_checksums(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return e.join(a, "path", "full_outer").select("path", status.alias("status"))
 
 
-def duplicate_content(checksums: DataFrame, samples: int = 5) -> DataFrame:
+def duplicate_content(checksums: DataFrame) -> DataFrame:
     """Contents that occur under several paths: count, first path, last path."""
     return (
         checksums.groupBy("sha256")

@@ -78,10 +78,11 @@ def test_headers_and_groups():
     assert schema.normalize_columns([" TransactionID ", "transaction id", "nameOrig", "###", "HTTPCode", "a--b__c", "A b C"]) == [
         "transaction_id", "transaction_id_2", "name_orig", "column", "http_code", "a_b_c", "a_b_c_2"
     ]
-    s = schema.resolve_schema(["transaction_id", "card1", "card4", "card12", "c14", "v258", "id_02", "id_12", "m1", "m4", "oldbalance_org", "step", "timestamp", "x"])
-    assert s.numeric == ("card1", "c14", "v258", "id_02", "oldbalance_org")
-    assert s.boolean == ("id_12", "m1") and s.text == ("transaction_id", "card4", "m4")
-    assert s.balance == ("oldbalance_org",) and s.integer == ("step",) and s.order == ("timestamp", "step")
+    roles = schema.assign_roles(["transaction_id", "card1", "card4", "card12", "c14", "v258", "id_02", "id_2", "id_12", "m1", "m4", "oldbalance_org", "step", "timestamp", "x"])
+    assert roles["number"] == ["card1", "c14", "v258", "id_02", "oldbalance_org"]
+    assert roles["flag"] == ["id_12", "m1"] and roles["text"] == ["transaction_id", "card4", "m4"]
+    assert roles["balance"] == ["oldbalance_org"] and roles["whole"] == ["step"] and roles["sequence"] == ["timestamp", "step"]
+    assert schema.header_words("ABc1De fG-h") == ["a", "bc1", "de", "f", "g", "h"]
 
 
 def test_feature_columns(spark):
@@ -422,3 +423,52 @@ def test_bounded_keeps_null(spark):
     assert values(df.select(C.bounded("x").alias("b")), "b") == [None, 10.0, -10.0, 1.5]
     out = features.base_features(spark.createDataFrame([(1.0, 0.0)], "amount double, oldbalance_org double"))
     assert out.first()["amount_to_oldbalance_ratio"] is None and "balance_delta_org" not in out.columns
+
+
+def test_first_rows_past_any_packing_bound(spark):
+    """Row numbers of any size stay with their source."""
+    big = 2**62
+    rows = [("a", big, big, "x"), ("a", big + 5, big + 5, "y"), ("b", 3, 3, "x"), ("b", big + 1, big + 1, "z")]
+    df = spark.createDataFrame(rows, "source_file string, source_row_number bigint, source_file_row_number bigint, p string")
+    got = {r.p: (r.source_file, r.source_row_number) for r in cleaning.dedupe_exact_keep_first(df, sources=["a", "b"]).collect()}
+    assert got == {"x": ("a", big), "y": ("a", big + 5), "z": ("b", big + 1)}
+
+
+def test_sources_are_numbered_by_one_sort(spark):
+    """The number of jobs does not grow with the sources."""
+    one = spark.createDataFrame([(2, "b"), (1, "a"), (3, "c")], "at int, note string")
+
+    def jobs(n):
+        group = f"sources-{n}"
+        spark.sparkContext.setJobGroup(group, group)
+        rows = cleaning.union_sources({f"s{i:03d}": one for i in range(n)}, ["at"]).orderBy("source_file", "source_row_number").collect()
+        spark.sparkContext.setJobGroup("other", "other")
+        assert [(r.source_file, r.source_row_number, r.note) for r in rows] == [(f"s{i:03d}", k + 1, c) for i in range(n) for k, c in enumerate("abc")]
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs(40) <= jobs(2) + 2
+
+
+@pytest.mark.parametrize("knots", [2, 40])
+def test_repeated_knots_and_missing_scores(spark, knots):
+    xs = (0.25, 0.25, *[0.5 + 0.01 * i for i in range(knots)])
+    ys = (0.1, 0.2, *[0.3 + 0.001 * i for i in range(knots)])
+    df = spark.createDataFrame([(0, 0.25), (1, None), (2, float("nan")), (3, 0.1), (4, 5.0), (5, 0.375)], "i int, s double")
+    got = [r.y for r in df.select("i", calibration.isotonic_apply("s", calibration.Knots(xs, ys)).alias("y")).orderBy("i").collect()]
+    assert got[:5] == [0.1, None, None, 0.1, ys[-1]] and abs(got[5] - 0.25) < 1e-12
+
+
+def test_as_many_rows_as_classes(spark):
+    df = spark.createDataFrame([("a", 0, 1.0), ("b", 1, 2.0)], "transaction_id string, is_fraud int, x double")
+    assert prep.anova_scores(df, ["x"]).first()["f"] == float("inf")
+
+
+def test_variance_within_classes_does_not_cancel(spark):
+    rows = [(str(i), i % 2, 1e9 + (i % 2) + 0.001 * (i // 2)) for i in range(40)]
+    df = spark.createDataFrame(rows, "transaction_id string, is_fraud int, x double")
+    x = np.array([r[2] for r in rows])
+    y = np.array([r[1] for r in rows])
+    groups = [x[y == k] - 1e9 for k in (0, 1)]
+    within = sum(((g - g.mean()) ** 2).sum() for g in groups) / 38
+    between = sum(len(g) * (g.mean() - (x - 1e9).mean()) ** 2 for g in groups)
+    assert abs(prep.anova_scores(df, ["x"]).first()["f"] / (between / within) - 1) < 0.01

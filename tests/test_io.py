@@ -94,3 +94,24 @@ def test_online_stream_is_replayable(spark):
     assert spark.read.schema(online.DECISION_SCHEMA).parquet(f"{base}/decisions").count() == n
     dead = online.dead_letters(spark.read.schema(online.EVENT_SCHEMA).parquet(f"{base}/in"))
     assert dead.count() == spark.read.parquet(f"{base}/in").count() - n
+
+
+def test_checksums_list_empty_files(spark, folder):
+    pathlib.Path(folder, "deep").mkdir()
+    pathlib.Path(folder, "deep", "none").write_bytes(b"")
+    pathlib.Path(folder, "one").write_bytes(b"1")
+    got = {r.path.rsplit("/", 1)[1]: (r.size_bytes, r.sha256) for r in files.file_checksums(spark, folder).collect()}
+    assert got == {"none": (0, hashlib.sha256().hexdigest()), "one": (1, hashlib.sha256(b"1").hexdigest())}
+
+
+def test_line_breaks_in_quoted_fields(spark, folder):
+    pathlib.Path(folder, "a.csv").write_text('transaction_id,note\n1,"two\nlines, ""quoted"""\n2,x\n')
+    got = files.read_raw_csv(spark, f"{folder}/a.csv", line_breaks=True).collect()
+    assert [tuple(r) for r in got] == [("1", 'two\nlines, "quoted"'), ("2", "x")]
+
+
+def test_sequences_come_back(spark, folder):
+    rows = spark.createDataFrame([("t", [[1.0, 2.0], [3.0, 4.0]], 2)], "current_transaction_id string, x_seq array<array<float>>, sequence_length int")
+    files.write_sequences(rows, f"{folder}/s")
+    back = files.read_table(spark, f"{folder}/s")
+    assert back.schema == rows.schema and back.collect() == rows.collect()
