@@ -166,7 +166,7 @@ class Network:
         cls = np.where(target < k, self.word_class[np.minimum(target, k - 1)], classes + target - k)
         score = states @ p["wc"]
         score += p["bc"]
-        score -= score.max(1, keepdims=True)
+        _lower(score)
         row = np.arange(len(target))
         picked = score[row, cls]
         np.exp(score, out=score)
@@ -188,7 +188,7 @@ class Network:
             hidden = states[at]
             s = hidden @ p["v"][lo:hi].T
             s += p["bv"][lo:hi]
-            s -= s.max(1, keepdims=True)
+            _lower(s)
             i, j = np.arange(len(at)), target[at] - lo
             one = s[i, j]
             np.exp(s, out=s)
@@ -278,6 +278,12 @@ class Network:
             out += np.bincount(owner[t0 + 1 : t0 + 1 + n, :active].ravel()[real], lp, len(texts))
         return out
 
+def _lower(score: np.ndarray) -> None:
+    """Take each row's largest score off where exponentials could overflow; elsewhere they are exact enough as they are."""
+    if score.size and score.max() > 60:
+        score -= score.max(1, keepdims=True)
+
+
 def pack(texts: Sequence[np.ndarray], width: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Texts in streams of about the same length, longest stream first: numbers, where a text begins, lengths, and whose each is.
 
