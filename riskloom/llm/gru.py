@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.bounded import top_counts
 from riskloom.session import stage
 
 #: The end of a text as a word: no word is empty.
@@ -97,8 +98,11 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, config: LmConfig) -> Vocabulary:
-    top = counts.orderBy(F.col("c").desc(), "word").limit(config.table).collect()
-    top = sorted(((bytes(r["word"]), r["c"]) for r in top), key=lambda x: (x[0] != END, -x[1], x[0]))
+    top = top_counts(counts, config.table).collect()
+    found = {bytes(r["word"]): r["c"] for r in top}
+    if counts_end := counts.where(F.length("word") == 0).first():
+        found[END] = counts_end["c"]
+    top = sorted(found.items(), key=lambda x: (x[0] != END, -x[1], x[0]))
     bucket = F.pmod(F.xxhash64(F.when(F.length("word") > 2, F.substring("word", -2, 2)).otherwise(F.col("word"))), F.lit(BUCKETS))
     tokens, words = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in counts.groupBy(bucket.alias("b")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from riskloom.llm.bounded import hash_sample
 from riskloom.session import stage
 
 #: Terms that name groups of people, by kind; a term is swapped with the others of its kind.
@@ -140,8 +141,8 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", id_: str
     """
     config = config or ToxicityConfig()
     usable = labelled.where(F.col(label).isin(0, 1) & F.col(id_).isNotNull())
-    order = F.xxhash64(F.col(id_).cast("string"), F.lit(7))
-    rows = stage(usable.select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"), order.alias("at")).orderBy("at", "label", "text").limit(config.max_fit_rows).repartition(8).select("text", "label"), "toxicity-fit")
+    some = hash_sample(usable.select(F.col(id_).alias("id"), F.col(label).cast("int").alias("label"), F.col(text).alias("text")), config.max_fit_rows, "id", "label", "text")
+    rows = stage(some.select("text", "label").repartition(8), "toxicity-fit")
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     if not n0 + n1:
@@ -248,7 +249,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, id_: str = "doc_id", confi
     """
     id__ = F.col("doc_id")
     marks = labels.select("doc_id", "toxic").where(id__.isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(id__)).distinct()
-    some = marks.orderBy(F.xxhash64(id__.cast("string"), F.lit(7)), "doc_id", "toxic").limit((config or ToxicityConfig()).max_fit_rows)
+    some = hash_sample(marks, (config or ToxicityConfig()).max_fit_rows, "doc_id", "toxic")
     return docs.select(F.col(id_).alias("doc_id"), "text").join(F.broadcast(some), "doc_id")
 
 
