@@ -26,7 +26,7 @@ class AnnConfig:
     k: int = 5
     seed: int = 17
     #: Bounds of a block of vectors and of a block of queries that meet in one step.
-    block_rows: int = 4096
+    block_rows: int = 1024
     block_queries: int = 1024
 
 
