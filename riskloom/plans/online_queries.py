@@ -240,11 +240,14 @@ def _events(spark, d):
     )
 
 
-@query("c10_validate_request", """
+_REQUEST_ERRORS = """
 SELECT event_id, array_to_string(list_filter([CASE WHEN event_id % 41 = 0 AND event_id % 43 = 0 AND event_id % 47 = 0 THEN 'request is required' END, CASE WHEN event_id % 41 = 0 THEN 'trace is required' END,
   CASE WHEN event_id % 41 <> 0 AND event_id % 29 = 0 THEN 'trace.request_id is required' END, CASE WHEN event_id % 41 <> 0 AND event_id % 31 = 0 THEN 'trace.source_system is required' END,
   CASE WHEN event_id % 43 = 0 THEN 'transaction is required' END, CASE WHEN event_id % 43 <> 0 AND event_id % 37 = 0 THEN 'transaction.transaction_id is required' END,
-  CASE WHEN event_id % 47 = 0 OR (event_id % 17 = 0 AND event_id % 19 = 0 AND event_id % 23 = 0) THEN 'features must not be empty' END], lambda x: x IS NOT NULL), ',') AS errors FROM events""")
+  CASE WHEN event_id % 47 = 0 OR (event_id % 17 = 0 AND event_id % 19 = 0 AND event_id % 23 = 0) THEN 'features must not be empty' END], lambda x: x IS NOT NULL), ',') AS errors FROM events"""
+
+
+@query("c10_validate_request", _REQUEST_ERRORS)
 def c10(spark, d):
     return as_text(scoring.validate_request(_events(spark, d)).select("event_id", "errors"), "errors")
 
@@ -256,12 +259,16 @@ def _run_dir(spark, name):
 
 
 def run_stream(spark, d):
-    """Write the events as files, run the online query over them to the end, return its folders."""
+    """Write the events as three files in the order of time, run the online query over them file by file, return its folders."""
     base = _run_dir(spark, "online")
-    events = _events(spark, d).drop("event_id")
-    events.write.parquet(f"{base}/in")
-    stream = spark.readStream.schema(online.EVENT_SCHEMA).parquet(f"{base}/in")
-    q = online.process_stream(stream, SPEC, f"{base}/decisions", f"{base}/audit", f"{base}/checkpoint")
+    events = _events(spark, d)
+    at = A.table(spark, d, "events").select(F.col("event_id").alias("_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("_at"))
+    timed = events.join(at, events["event_id"] == at["_id"])
+    cuts = at.agg(F.percentile_approx("_at", [1 / 3, 2 / 3])).first()[0]
+    third = F.when(F.col("_at") <= cuts[0], 0).when(F.col("_at") <= cuts[1], 1).otherwise(2)
+    for part in range(3):
+        timed.where(third == part).drop("event_id", "_id", "_at").coalesce(1).write.mode("append").parquet(f"{base}/in")
+    q = online.process_stream(online.read_events(spark, f"{base}/in", files_per_batch=1), SPEC, f"{base}/decisions", f"{base}/audit", f"{base}/checkpoint")
     q.awaitTermination()
     return base
 
@@ -286,6 +293,17 @@ def n5(spark, d):
     )
 
 
+@query("n5_dead_letters", """
+SELECT CASE WHEN event_id % 41 = 0 THEN NULL WHEN event_id % 29 = 0 THEN '' ELSE concat('rq_', CAST(event_id AS VARCHAR)) END AS request_id,
+  CASE WHEN event_id % 43 = 0 THEN NULL WHEN event_id % 37 = 0 THEN '' ELSE concat('ev_', CAST(event_id AS VARCHAR)) END AS transaction_id, errors FROM (""" + _REQUEST_ERRORS + """) WHERE errors <> ''""")
+def n5_dead_letters(spark, d):
+    base = _run_dir(spark, "rejects")
+    _events(spark, d).drop("event_id").write.parquet(f"{base}/in")
+    online.reject_stream(online.read_events(spark, f"{base}/in"), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    kept = spark.read.schema("trace struct<request_id:string>, transaction struct<transaction_id:string>, errors array<string>").json(f"{base}/out")
+    return as_text(kept.select("trace.request_id", "transaction.transaction_id", "errors"), "errors")
+
+
 @query("n6_dedupe_stream", "SELECT DISTINCT event_id AS transaction_id FROM events")
 def n6(spark, d):
     base = _run_dir(spark, "dedupe")

@@ -7,7 +7,7 @@ files of a batch are overwritten by the same batch.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -55,10 +55,22 @@ def accepted(events: DataFrame) -> DataFrame:
 
 
 def dead_letters(events: DataFrame) -> DataFrame:
-    """Events that fail validation with their errors; write them with a query of their own."""
+    """Events that fail validation with their errors."""
     return validate_request(events).where(F.size("errors") > 0)
 
 
+def read_events(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """Stream of the event files below ``path``; ``files_per_batch`` bounds a micro-batch."""
+    reader = spark.readStream.schema(EVENT_SCHEMA)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path)
+
+
+def reject_stream(events: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Start the query that keeps what :func:`process_stream` leaves out: invalid events with their errors, each once."""
+    writer = dead_letters(events).writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
 def enriched_events(events: DataFrame, spec: ScoringSpec) -> DataFrame:
     """Stream of scored events with the profile before each event and the rule flags."""
     flat = flatten_events(score_events(accepted(events), spec))
