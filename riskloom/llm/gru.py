@@ -19,6 +19,10 @@ from riskloom.session import stage
 #: The end of a text as a word: no word is empty.
 END = b""
 BUCKETS = 64
+#: Tokens whose class scores are taken at once, and steps of a window, where texts are scored.
+BLOCK, WINDOW = 1024, 32
+#: Texts that are scored side by side.
+STREAMS = 1024
 LOG10 = np.log(10.0)
 
 
@@ -168,15 +172,19 @@ class Network:
         """Natural log-probability of each target (a shortlist word, or shortlist + bucket); with ``grad``, its gradients too."""
         k, classes, p = self.k, self.config.classes, self.p
         cls = np.where(target < k, self.word_class[np.minimum(target, k - 1)], classes + target - k)
-        score = states @ p["wc"]
-        score += p["bc"]
-        _lower(score)
-        row = np.arange(len(target))
-        picked = score[row, cls]
-        np.exp(score, out=score)
-        z = score.sum(1)
-        out = (picked - np.log(z)).astype(float)
-        back = None
+        out, back = np.empty(len(target)), None
+        # Without gradients a block at a time, small enough for the cache.
+        size = BLOCK if grad is None else max(len(target), 1)
+        for a in range(0, len(target), size):
+            some = cls[a : a + size]
+            score = states[a : a + size] @ p["wc"]
+            score += p["bc"]
+            _lower(score)
+            row = np.arange(len(some))
+            picked = score[row, some]
+            np.exp(score, out=score)
+            z = score.sum(1)
+            out[a : a + size] = picked - np.log(z)
         if grad is not None:
             score /= z[:, None]
             score[row, cls] -= 1
@@ -266,14 +274,14 @@ class Network:
         out = np.zeros(len(texts))
         total, longest = sum(len(t) + 1 for t in texts), max((len(t) + 1 for t in texts), default=1)
         # So many streams that padding stays below the texts themselves.
-        width = max(1, min(256, total // longest + 1, len(texts)))
+        width = max(1, min(STREAMS, total // longest + 1, len(texts)))
         ids, reset, lengths, owner = pack(texts, width, begin)
         h = np.zeros((width, self.config.hidden), np.float32)
-        for t0 in range(0, len(ids) - 1, 32):
+        for t0 in range(0, len(ids) - 1, WINDOW):
             active = int((lengths > t0 + 1).sum())
             if not active:
                 break
-            target = ids[t0 + 1 : t0 + 33, :active]
+            target = ids[t0 + 1 : t0 + 1 + WINDOW, :active]
             n = len(target)
             states, _ = self.advance(ids[t0 : t0 + n, :active], reset[t0 : t0 + n, :active], h[:active], keep=False)
             h = states[-1]
