@@ -406,7 +406,8 @@ def _score(network: Network, vocabulary: Vocabulary):
         # Of a word in its bucket: its count over the bucket's, with room for one word more.
         inside = np.log10(np.maximum(vocabulary.bucket_tokens, 0) + c.smooth * (np.maximum(vocabulary.bucket_words, 0) + 1))
         for batch in batches:
-            texts, facts, rare = [], [], []
+            texts, facts = [], []
+            rare_words, rare_counts, ends = [], [], [0]
             for text in batch.column(3):
                 words = words_of(text.as_py())
                 found = np.fromiter(map(table.__getitem__, words), np.int64, len(words))
@@ -419,12 +420,16 @@ def _score(network: Network, vocabulary: Vocabulary):
                     base_of[beyond].sum() - inside[bucket[beyond]].sum() - inside[-1 - other].sum(),
                 ))
                 texts.append(_model_ids(found, bucket, k))
-                rare.append(list(Counter(words[i] for i in np.flatnonzero(found < 0).tolist()).items()))
+                rare = Counter(words[i] for i in np.flatnonzero(found < 0).tolist())
+                rare_words += rare.keys()
+                rare_counts += rare.values()
+                ends.append(len(rare_words))
             total = np.zeros(len(texts))
             if vocabulary.total:
                 total = network.score(texts) / LOG10
             columns = list(zip(*facts, strict=True)) if facts else [[]] * 4
-            pairs = pa.array([[{"word": w, "n": n} for w, n in r] for r in rare], pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))
+            pairs = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int64())], ["word", "n"])
+            pairs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64()), pa.array(total + np.array(columns[3], float)), pairs],
                 ["rid", "id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"],
