@@ -23,6 +23,8 @@ BUCKETS = 64
 BLOCK, WINDOW = 1024, 32
 #: Texts that are scored side by side.
 STREAMS = 1024
+#: Weights that are averaged as one piece.
+PIECE = 1 << 16
 LOG10 = np.log(10.0)
 
 
@@ -35,9 +37,10 @@ class LmConfig:
     hidden: int = 32
     classes: int = 64
     #: Share of the training texts that the network is fitted on (whole texts, by a hash of the id); counts are of all of them.
-    fit_share: float = 1 / 6
-    #: The fit runs on this many parts of the share at once, and their weights are averaged after each round.
+    fit_share: float = 1.0
+    #: The fit runs on this many parts of a round at least, more where a part would exceed ``replica_tokens``; their weights are averaged after each round.
     replicas: int = 12
+    replica_tokens: int = 800_000
     rounds: int = 3
     streams: int = 64
     #: Steps of the truncated backpropagation.
@@ -129,6 +132,8 @@ class Network:
 
     def __init__(self, vocabulary: Vocabulary, config: LmConfig):
         self.config = config
+        #: Tokens that the weights have been fitted on.
+        self.fitted = 0
         self.end = 0  # the end mark comes first in the shortlist
         k = self.k = min(config.shortlist, len(vocabulary.words))
         h, rng = config.hidden, np.random.default_rng(config.seed)
@@ -366,29 +371,47 @@ def _replica(network: Network, vocabulary: Vocabulary):
             learn()
             fitted += held
         if fitted:
-            blob = [network.p[n].tobytes() for n in sorted(network.p)]
-            yield pa.RecordBatch.from_arrays([pa.array([fitted], pa.int64()), pa.array([blob], pa.list_(pa.binary()))], ["tokens", "weights"])
+            flat = np.concatenate([network.p[n].ravel() for n in sorted(network.p)])
+            pieces = range(0, len(flat), PIECE)
+            yield pa.RecordBatch.from_arrays([pa.array([at // PIECE for at in pieces], pa.int64()), pa.array([fitted] * len(pieces), pa.int64()), pa.array([flat[at : at + PIECE].tobytes() for at in pieces], pa.binary())], ["piece", "tokens", "weights"])
 
     return run
 
 
+def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each piece of the weights, averaged over the replicas by their tokens."""
+    sums: dict[int, tuple[int, np.ndarray]] = {}
+    for batch in batches:
+        for piece, tokens, weights in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            seen, total = sums.get(piece, (0, 0.0))
+            sums[piece] = seen + tokens, total + np.frombuffer(weights.as_py(), np.float32).astype(float) * tokens
+    if sums:
+        blobs = [(total / seen).astype(np.float32).tobytes() for seen, total in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([seen for seen, _ in sums.values()], pa.int64()), pa.array(blobs, pa.binary())], ["piece", "tokens", "weights"])
+
+
 def fit(texts: DataFrame, vocabulary: Vocabulary, config: LmConfig) -> Network:
     """Network of ``texts(id, text)``, averaged over the replicas after each round, by the tokens that each has seen.
 
-    The driver holds one network for each replica at a time; their number is a parameter, and the texts stay on the executors.
+    The replicas grow in number with the tokens and are averaged on the executors, piece by piece; the driver holds one network.
     """
     network = Network(vocabulary, config)
+    replicas = max(config.replicas, int(-(-vocabulary.total * config.fit_share // (config.rounds * config.replica_tokens))))
     draw = F.pmod(F.xxhash64(F.col("id").cast("string"), F.col("text"), F.lit(config.seed)), F.lit(1_000_000))
     share = int(config.fit_share * 1_000_000)
     some = stage(texts.select(F.col("text").cast("binary").alias("text"), draw.alias("draw")).where(F.col("draw") < share), "lm-fit")
     for r in range(config.rounds):
-        part = some.where(F.pmod(F.col("draw"), F.lit(config.rounds)) == r).select("text").repartition(config.replicas)
-        got = part.mapInArrow(_replica(network, vocabulary), "tokens long, weights array<binary>").collect()
-        seen = sum(g["tokens"] for g in got)
-        for i, name in enumerate(sorted(network.p)):
-            if seen:
-                parts = sum(np.frombuffer(bytes(g["weights"][i]), np.float32).astype(float) * (g["tokens"] / seen) for g in got)
-                network.p[name] = parts.reshape(network.p[name].shape).astype(np.float32)
+        part = some.where(F.pmod(F.col("draw"), F.lit(config.rounds)) == r).select("text").repartition(replicas)
+        kind = "piece long, tokens long, weights binary"
+        got = part.mapInArrow(_replica(network, vocabulary), kind).repartition("piece").mapInArrow(_average, kind).collect()
+        if not got:
+            continue
+        network.fitted += got[0]["tokens"]
+        flat, at = np.concatenate([np.frombuffer(bytes(g["weights"]), np.float32) for g in sorted(got, key=lambda g: g["piece"])]), 0
+        for name in sorted(network.p):
+            size, shape = network.p[name].size, network.p[name].shape
+            network.p[name] = flat[at : at + size].reshape(shape).copy()
+            at += size
     return network
 
 

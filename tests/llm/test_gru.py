@@ -1,9 +1,11 @@
 import math
 import zlib
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from riskloom.llm import gru as G
 from tests.conftest import SF
@@ -94,3 +96,12 @@ def test_fit_learns_an_order(network):
     for _ in range(4):
         network.fit(ids, reset, lengths)
     assert network.score([text])[0] > 0.5 * before
+
+
+def test_every_training_text_is_fitted(spark):
+    """With the default share, in more replicas than the least."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").alias("id"), "text").where(~G.held_out(F.col("doc_id")))
+    config = replace(TINY, fit_share=G.LmConfig().fit_share, rounds=3, replica_tokens=5_000)
+    words = G.vocabulary(G.word_counts(docs), config)
+    assert words.total > 3 * config.replicas * config.replica_tokens
+    assert G.fit(docs, words, config).fitted == words.total
