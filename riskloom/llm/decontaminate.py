@@ -123,7 +123,15 @@ class LeakIndex:
         return pair // size, pair % size
 
     def search(self, texts: Sequence[np.ndarray]) -> list[tuple[int, int, int, float]]:
-        """(text, item number, first word of the passage, score) of the best passage of a text for each item above the threshold.
+        """The best passage of a text for each item above the threshold, the first of equal ones; otherwise as ``passages``."""
+        best: dict[tuple[int, int], tuple[int, float]] = {}
+        for d, k, at, s in self.passages(texts):
+            if (d, k) not in best or s > best[d, k][1]:
+                best[d, k] = (at, s)
+        return [(d, k, at, s) for (d, k), (at, s) in best.items()]
+
+    def passages(self, texts: Sequence[np.ndarray]) -> list[tuple[int, int, int, float]]:
+        """(text, item number, first word of the passage, score) of every passage of a text for each item above the threshold.
 
         ``texts`` hold the term number of each word, -1 for words of no item. Passages are windows of twice the longest
         item, one longest item apart, so every run of words as long as an item lies whole in one.
@@ -163,19 +171,38 @@ class LeakIndex:
         good = total >= limit
         window, item = cell[good] // n, cell[good] % n
         text = np.searchsorted(first, window, side="right") - 1
-        best: dict[tuple[int, int], tuple[int, float]] = {}
-        for d, k, w, s in zip(text.tolist(), item.tolist(), (window - first[text]).tolist(), total[good].tolist(), strict=True):
-            if (d, k) not in best or s > best[d, k][1]:
-                best[d, k] = (w * stride, s)
-        return [(d, k, at_, s) for (d, k), (at_, s) in best.items()]
+        return list(zip(text.tolist(), item.tolist(), ((window - first[text]) * stride).tolist(), total[good].tolist(), strict=True))
+
+    def verify(self, words: Sequence[str], found: dict[int, list[tuple[int, float]]]) -> Iterator[tuple[int, int, float, float, float]]:
+        """(item number, first word, score, question's share, answer's share) of each item of which the whole text holds enough.
 
-    def verify(self, tokens: Sequence[str], k: int, at: int) -> tuple[float, float]:
-        """Shares of the n-grams of the item's question and of its answer that the passage holds."""
-        around = words_of(" ".join(tokens[at : at + 2 * self.longest]))
-        question, answer = self.splits[k]
+        ``found`` has the retrieved passages of each item. The shares are those of the n-grams that the text holds anywhere, as
+        an answer may stand far from its question. The passage named is the best of those that hold enough alone, else the best.
+        """
+        c = self.config
+        wanted = {g for k in found for part in self.splits[k] for g in part}
         # Parts shorter than n words are one gram of their own length.
-        have = {g for m in {len(g.split()) for g in (*question, *answer)} for g in grams(around, m)}
-        return tuple(len(part & have) / len(part) if part else 1.0 for part in (question, answer))
+        sizes = sorted({g.count(" ") + 1 for g in wanted})
+
+        def held(words: Sequence[str]) -> set[str]:
+            return {g for m in sizes for i in range(len(words) - m + 1) if (g := " ".join(words[i : i + m])) in wanted}
+
+        def shares(k: int, have: set[str]) -> tuple[float, float]:
+            return tuple(len(part & have) / len(part) if part else 1.0 for part in self.splits[k])
+
+        def enough(q: float, a: float) -> bool:
+            return q >= c.question_overlap and a >= c.answer_overlap
+
+        all_, of = held(words), {}
+        for k, places in found.items():
+            q, a = shares(k, all_)
+            if not enough(q, a):
+                continue
+            for at, _ in places:
+                if at not in of:
+                    of[at] = held(words[at : at + 2 * self.longest])
+            at, score = max(places, key=lambda x: (enough(*shares(k, of[x[0]])), x[1], -x[0]))
+            yield k, at, score, q, a
 
 
 class _Numbers(dict):
@@ -199,10 +226,12 @@ def _scan(index: LeakIndex):
     numbers = _Numbers(index.vocabulary)
 
     def hits(group: list[tuple[int, list[str], np.ndarray]]) -> Iterator[tuple]:
-        for d, k, at, score in index.search([g[2] for g in group]):
+        found: dict[int, dict[int, list[tuple[int, float]]]] = {}
+        for d, k, at, score in index.passages([g[2] for g in group]):
+            found.setdefault(d, {}).setdefault(k, []).append((at, score))
+        for d, items in found.items():
             key, tokens, _ = group[d]
-            q, a = index.verify(tokens, k, at)
-            if q >= index.config.question_overlap and a >= index.config.answer_overlap:
+            for k, at, score, q, a in index.verify([_STRIP.sub("", t) for t in tokens], items):
                 yield key, index.ids[k], at, score, q, a
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,8 +275,8 @@ def _indexes(benchmark: DataFrame, config: LeakConfig) -> Iterator[LeakIndex]:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", config: LeakConfig | None = None) -> DataFrame:
     """``(key, item_id, first_word, score, question_overlap, answer_overlap)`` for each document and test item it holds.
 
-    Whole texts are searched; a pair of document row and item comes once, with its best passage, and repeated rows give
-    repeated pairs. Null and empty texts hold nothing; items with a null id or without words are left out, and several
+    Whole texts are searched, and the overlaps are those of the whole text; a pair of document row and item comes once, with
+    its best passage, and repeated rows give repeated pairs. Null and empty texts hold nothing; items with a null id or without words are left out, and several
     items under one id are searched each. Without items, or without documents, the result is empty.
     Other columns are ignored. The documents are read once for each index of ``index_bytes``, and never shuffled.
     """

@@ -87,3 +87,21 @@ def test_several_indexes_find_the_same_items(spark):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     small = D.find_leaks(docs, bench, config=D.LeakConfig(index_bytes=2000))
     assert {(r.key, r.item_id) for r in D.find_leaks(docs, bench).collect()} == {(r.key, r.item_id) for r in small.collect()}
+
+
+def test_shuffled_copy_before_the_exact_one(docs, spark):
+    """With a long item in the index, windows are long; all words of a short item by chance hide no later copy."""
+    rng = random.Random(8)
+    bench = spark.createDataFrame([(1, ITEM), (2, " ".join(f"long{i}" for i in range(1000)))], "item_id long, text string")
+    mixed = ITEM.split()
+    rng.shuffle(mixed)
+    rows = docs((1, " ".join(mixed) + " noise" * 5000 + " " + ITEM + " noise" * 90), (2, " ".join(mixed) + " noise" * 5000))
+    assert [(r.key, r.item_id, r.first_word) for r in D.find_leaks(rows, bench).collect()] == [(1, 1, 4000)]
+    assert [r.doc_id for r in D.drop_leaks(rows, bench).collect()] == [2]
+
+
+def test_answer_far_from_its_question(docs, spark):
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    question, answer = ITEM.split("? ")
+    rows = docs((1, f"{question}?" + " noise" * 500 + f" {answer}"), (2, f"{question}?" + " noise" * 500))
+    assert [(r.key, r.question_overlap, r.answer_overlap) for r in D.find_leaks(rows, bench).collect()] == [(1, 1.0, 1.0)]
