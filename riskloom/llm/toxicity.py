@@ -26,6 +26,27 @@ IDENTITY_TERMS: dict[str, tuple[str, ...]] = {
     "colour": ("black", "white", "brown", "latino"),
     "ability": ("disabled", "deaf", "blind", "autistic"),
     "age": ("old", "young", "elderly", "teenage"),
+    "gender, de": ("frauen", "männer", "mädchen", "jungen", "nichtbinäre"),
+    "orientation, de": ("schwule", "lesben", "bisexuelle", "heterosexuelle"),
+    "faith, de": ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten", "katholiken"),
+    "origin, de": ("afrikaner", "asiaten", "europäer", "amerikaner", "mexikaner", "araber", "türken", "inder", "chinesen", "einwanderer"),
+    "colour, de": ("schwarze", "weiße", "braune"),
+    "ability, de": ("behinderte", "gehörlose", "blinde", "autisten"),
+    "age, de": ("alte", "junge", "senioren", "jugendliche"),
+    "gender, fr": ("femmes", "hommes", "filles", "garçons"),
+    "orientation, fr": ("homosexuels", "lesbiennes", "bisexuels", "hétérosexuels"),
+    "faith, fr": ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées", "catholiques"),
+    "origin, fr": ("africains", "asiatiques", "européens", "américains", "mexicains", "arabes", "turcs", "indiens", "chinois", "immigrés"),
+    "colour, fr": ("noirs", "blancs", "bruns"),
+    "ability, fr": ("handicapés", "sourds", "aveugles", "autistes"),
+    "age, fr": ("vieux", "jeunes", "âgés", "adolescents"),
+    "gender, es": ("mujeres", "hombres", "niñas", "niños"),
+    "orientation, es": ("homosexuales", "lesbianas", "bisexuales", "heterosexuales"),
+    "faith, es": ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos", "católicos"),
+    "origin, es": ("africanos", "asiáticos", "europeos", "americanos", "mexicanos", "árabes", "turcos", "indios", "chinos", "inmigrantes"),
+    "colour, es": ("negros", "blancos", "morenos"),
+    "ability, es": ("discapacitados", "sordos", "ciegos", "autistas"),
+    "age, es": ("viejos", "jóvenes", "ancianos", "adolescentes"),
 }
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -42,8 +63,6 @@ class ToxicityConfig:
     #: Bound on the features that enter the fit: those most strongly tied to the label, seen in ``min_rows`` rows or more.
     max_features: int = 8192
     min_rows: int = 3
-    #: Bound on the counterfactual pairs.
-    max_pairs: int = 8192
     swap_penalty: float = 1.0
     #: Least likelihood ratio of feature and label, in nats.
     min_strength: float = 6.0
@@ -161,10 +180,14 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", id_: str
     strength = part(F.col("clean"), n0 / (n0 + n1)) + part(F.col("toxic"), n1 / (n0 + n1))
     kept = [r["f"] for r in counts.where(strength >= config.min_strength).orderBy(strength.desc(), "f").limit(config.max_features).collect()]
     # Features that occur in identity terms may enter too, so that their weights can be held equal.
-    got = rows.mapInArrow(_chosen(frozenset(kept)), "label int, plus array<long>, minus array<long>").collect()
+    chosen = stage(rows.mapInArrow(_chosen(frozenset(kept)), "label int, plus array<long>, minus array<long>"), "toxicity-chosen")
     place = {f: i for i, f in enumerate(kept)}
-    texts = [r for r in got if r["label"] >= 0]
-    pairs = sorted((r for r in got if r["label"] < 0), key=lambda r: (r["plus"], r["minus"]))[: config.max_pairs]
+    texts = chosen.where("label >= 0").collect()
+    # Equal swaps are one with a count, so their number is that of the terms and of the few features each may share with its sentence.
+    pairs = chosen.where("label < 0").groupBy("plus", "minus").agg(F.count("*").alias("n")).collect()
+    pairs.sort(key=lambda r: (r["plus"], r["minus"]))
+    often = np.array([r["n"] for r in pairs], float)
+    often *= 2 * config.swap_penalty / max(often.sum(), 1.0)
     y = np.array([r["label"] for r in texts], float)
     row, col = _cells([r["plus"] for r in texts], place)
     prow, pcol = _cells([r["plus"] for r in pairs], place)
@@ -179,7 +202,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", id_: str
         z = direction[-1] + np.bincount(row, direction[col], n)
         curved = np.append(np.bincount(col, z[row], len(kept)), z.sum()) * 0.25 / n
         if pairs:
-            moved = (np.bincount(prow, direction[pcol], len(pairs)) - np.bincount(mrow, direction[mcol], len(pairs))) * 2 * config.swap_penalty / len(pairs)
+            moved = (np.bincount(prow, direction[pcol], len(pairs)) - np.bincount(mrow, direction[mcol], len(pairs))) * often
             curved[:-1] += np.bincount(pcol, moved[prow], len(kept)) - np.bincount(mcol, moved[mrow], len(kept))
         top = max(float(direction @ curved), 1e-6)
         direction = curved
@@ -191,7 +214,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", id_: str
         grad = np.bincount(col, error[row], len(w)) + config.ridge * look
         if pairs:
             moved = np.bincount(prow, look[pcol], len(pairs)) - np.bincount(mrow, look[mcol], len(pairs))
-            moved *= 2 * config.swap_penalty / len(pairs)
+            moved *= often
             grad += np.bincount(pcol, moved[prow], len(w)) - np.bincount(mcol, moved[mrow], len(w))
         new = look - step * grad
         new = np.sign(new) * np.maximum(np.abs(new) - step * config.lasso, 0)

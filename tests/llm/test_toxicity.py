@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from riskloom.llm import toxicity as T
@@ -65,3 +66,24 @@ def test_very_long_text_is_read_to_its_end(spark):
     long = spark.createDataFrame([(1, "helper " * 100_000 + "vile grumbler"), (2, "helper " * 100_000)], "doc_id long, text string")
     a, b = (r.score for r in T.scores(long, model).orderBy("doc_id").collect())
     assert a > b
+
+
+@pytest.mark.parametrize(("often", "seldom"), [("women", "deaf"), ("deaf", "women")])
+def test_more_pairs_than_fitted_rows(spark, often, seldom):
+    """12,000 swaps: the term that comes less often is held equal too, whichever hash is the smaller."""
+    rows = [(i, (f"{often} came. " * 60 + f"{seldom} came. " * 20 + "vile" if i % 2 else "people came. fine") + f" number {i % 13}.", i % 2) for i in range(300)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    plain, fair = (T.fit(labelled, config=T.ToxicityConfig(swap_penalty=p)) for p in (0.0, 50.0))
+
+    def gap(model, term):
+        return abs(model.logit(T.text_features(f"{term} are fine")) - model.logit(T.text_features(f"{T._NEXT[term]} are fine")))
+
+    for term in (often, seldom):
+        assert gap(fair, term) < 0.25 * gap(plain, term)
+
+
+def test_terms_of_four_languages():
+    terms = [t for kind in T.IDENTITY_TERMS.values() for t in kind]
+    assert len(set(terms)) == len(terms)
+    for text in ("Die Männer sind da", "les garçons sont là", "los niños cantan", "the boys sing"):
+        assert len(list(T.swaps(text))) == 1
