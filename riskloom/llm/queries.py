@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import ann, decontaminate, gru, main_text, merkle, mixing, secret_scan, shards, simhash, token_files, toxicity
+from riskloom.llm import ann, decontaminate, gru, hard_negatives, main_text, merkle, mixing, secret_scan, shards, simhash, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.document_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(table(spark, sf_dir, "documents"))
 
@@ -72,7 +76,8 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_merkle": op12_merkle,
 }
 
-ORACLES = {"op2_mixing": mixing.ORACLE, "op8_secrets": secret_scan.ORACLE, "op12_merkle": merkle.ORACLE}
+ORACLES = {"op2_mixing": mixing.ORACLE, "op8_secrets": secret_scan.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE, "op12_merkle": merkle.ORACLE}
