@@ -86,6 +86,23 @@ def staged(df: DataFrame, name: str) -> Iterator[DataFrame]:
         target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Staged tables of a block are deleted at its end, but for those staged by the function it is given."""
+    before, kept = len(_STAGES), []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = stage(df, name)
+        kept.append(_STAGES.pop())
+        return out
+
+    try:
+        yield keep
+    finally:
+        clear_stages(spark, before)
+        _STAGES.extend(kept)
+
+
 def side_by_side(spark: SparkSession, tasks: Sequence[Callable], workers: int = 4) -> list:
     """Run independent small fits at the same time; each alone leaves most of the cluster idle."""
     if len(tasks) < 2:
