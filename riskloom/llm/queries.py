@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import ann, decontaminate, gru, hard_negatives, main_text, merkle, mixing, secret_scan, shards, simhash, token_files, toxicity
+from riskloom.llm import ann, decontaminate, gru, hard_negatives, main_text, merkle, mixing, secret_scan, shards, simhash, superminhash, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_multiprobe": op1_multiprobe,
     "op2_mixing": op2_mixing,
@@ -78,6 +82,7 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_merkle": op12_merkle,
+    "op13_superminhash": op13_superminhash,
 }
 
-ORACLES = {"op2_mixing": mixing.ORACLE, "op8_secrets": secret_scan.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE, "op12_merkle": merkle.ORACLE}
+ORACLES = {"op2_mixing": mixing.ORACLE, "op8_secrets": secret_scan.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE, "op12_merkle": merkle.ORACLE, "op13_superminhash": superminhash.ORACLE}
