@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.columns import clamp01
-from riskloom.operators.calibration import CalibrationConfig, select_calibrators
+from riskloom.operators.calibration import CalibrationConfig, apply_calibrators, select_calibrators
 from riskloom.operators.fusion import FusionConfig, FusionRecipe, _ap_by_branch, _pool, branch_names, candidate_recipes, rank_recipes
 from riskloom.operators.metrics import LABEL, PREDICTED, SCORE, best_f1_threshold, evaluate, score_curve, stack_columns
 from riskloom.session import side_by_side
@@ -60,14 +60,12 @@ def ablations(valid: DataFrame, test: DataFrame, cfg: AblationConfig = AblationC
         {names_of[key]: valid.select(label, e.alias(SCORE)) for key, e in columns.items()}, cfg.calibration
     )
     picked = {v: picks[names_of[key]] for v, key in recipe_of.items()}
-    final_scores = {v: clamp01(picked[v][1].column(columns[key])) for v, key in recipe_of.items()}
-    final_scores["no_calibration"] = columns[recipe_of["full"]]
-    both = _stack(valid, final_scores).withColumn("split", F.lit("valid")).unionByName(
-        _stack(test, final_scores).withColumn("split", F.lit("test"))
-    )
+    fused = {v: columns[key] for v, key in recipe_of.items()} | {"no_calibration": columns[recipe_of["full"]]}
+    raw = _stack(valid, fused).withColumn("split", F.lit("valid")).unionByName(_stack(test, fused).withColumn("split", F.lit("test")))
+    both = apply_calibrators(raw, {v: model for v, (_, model) in picked.items()}, "variant").withColumn(SCORE, clamp01(F.col(SCORE)))
     curve = score_curve(both, ["variant", "split"])
     if cfg.calibration.threshold_strategy == "fixed":
-        limits = {v: cfg.calibration.threshold for v in final_scores}
+        limits = {v: cfg.calibration.threshold for v in fused}
     else:
         on_valid = curve.where(F.col("split") == "valid")
         limits = {r["variant"]: r["threshold"] for r in best_f1_threshold(both, ["variant"], on_valid).collect()}
@@ -78,7 +76,7 @@ def ablations(valid: DataFrame, test: DataFrame, cfg: AblationConfig = AblationC
     meta = [
         (v, _describe(v, leave_out), v != "no_fusion", v != "no_calibration", leave_out.get(v),
          chosen[v].candidate if v in chosen else None, picked[v][0] if v in picked else None, float(limits[v]))
-        for v in final_scores
+        for v in fused
     ]
     info = valid.sparkSession.createDataFrame(
         meta,

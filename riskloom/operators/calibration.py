@@ -8,12 +8,12 @@ from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.columns import clamp01, clip_probability, sigmoid
 from riskloom.operators.fusion import fit_balanced_logistic, predictions
+from riskloom.operators.isotonic import KnotTable, apply_knots, fit_knots
 from riskloom.operators.metrics import LABEL, PREDICTED, SCORE, evaluate, match_keys, resolve_threshold
 from riskloom.session import side_by_side
 
@@ -61,17 +61,23 @@ def platt_apply(score: Column, model: Platt) -> Column:
     return model.column(score)
 
 
-def isotonic_fit(df: DataFrame) -> Knots:
-    """Non-decreasing step-linear fit; tied scores enter once with their mean label and count."""
-    pooled = distinct_scores(df).groupBy(SCORE).agg(
-        (F.sum(F.col(LABEL) * F.col("w")) / F.sum("w")).alias("label"), F.sum("w").alias("weight")
-    )
-    model = IsotonicRegression(featuresCol=SCORE, labelCol="label", weightCol="weight").fit(pooled)
-    return Knots(tuple(float(x) for x in model.boundaries), tuple(float(y) for y in model.predictions))
+def isotonic_fit(df: DataFrame, by: str | None = None) -> KnotTable:
+    """Non-decreasing fit, of each value of ``by`` if given; tied scores enter once with their mean label and count.
+
+    Scores that are NULL, NaN or infinite take no part; a table without others has no knots.
+    """
+    x = F.col(SCORE).cast("double")
+    y = F.coalesce(F.col(LABEL).cast("double"), F.lit(0.0))
+    group = (F.col(by).cast("string") if by else F.lit("")).alias("g")
+    points = df.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))).groupBy(group, x.alias("x")).agg(F.sum(y).alias("s"), F.count(F.lit(1)).cast("double").alias("w"))
+    return fit_knots(points)
 
 
 def isotonic_apply(score: Column | str, knots: Knots) -> Column:
-    """Clamp outside the knots, interpolate inside, identity without knots; NULL and NaN stay without a value."""
+    """Clamp outside some given knots, interpolate inside, identity without knots; NULL and NaN stay without a value.
+
+    For knots that are part of a scoring specification; fitted ones are a table, see :func:`apply_calibrators`.
+    """
     s = F.col(score) if isinstance(score, str) else score
     if not knots.xs or len(knots.xs) != len(knots.ys):
         return s
@@ -126,45 +132,68 @@ def selection_metrics(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return match_keys(flat, expected_calibration_error(clipped, 10, by), by)
 
 
-def fit_calibrator(df: DataFrame, method: str) -> Platt | Knots:
-    if method == "platt":
-        return platt_fit(df)
-    if method == "isotonic":
-        return isotonic_fit(df)
-    raise ValueError(f"unsupported calibration method: {method}")
+Calibrator = Platt | Knots | KnotTable
+
+
+def apply_calibrators(df: DataFrame, models: Mapping[str, Calibrator | None], by: str, score: str = SCORE, out: str = SCORE) -> DataFrame:
+    """``df`` with the calibrated ``out`` of each row, by the model of its value of ``by``; a value without model keeps its score.
+
+    Fitted knots of all groups are merged with the scores in one pass.
+    """
+    raw = F.col(score).cast("double")
+    plain = raw
+    for g, model in models.items():
+        if model is not None and not isinstance(model, KnotTable):
+            plain = F.when(F.col(by) == g, model.column(raw)).otherwise(plain)
+    tables = {g: m.table for g, m in models.items() if isinstance(m, KnotTable)}
+    if not tables:
+        return df.withColumn(out, plain)
+    knots = KnotTable(reduce(DataFrame.unionByName, [t.withColumn("g", F.lit(g)) for g, t in tables.items()]))
+    stepped = F.col(by).isin(list(tables))
+    merged = apply_knots(df.withColumns({"_plain": plain, "_group": F.when(stepped, F.col(by))}), knots, score, "_stepped", "_group")
+    return merged.withColumn(out, F.when(stepped, F.when(F.col("_stepped").isNotNull(), clamp01(F.col("_stepped")))).otherwise(F.col("_plain"))).drop("_plain", "_group", "_stepped")
+
+
+def apply_calibrator(df: DataFrame, model: Calibrator, score: str = SCORE, out: str = SCORE) -> DataFrame:
+    return apply_calibrators(df.withColumn("_model", F.lit("")), {"": model}, "_model", score, out).drop("_model")
 
 
 def select_calibrators(
     frames: Mapping[str, DataFrame], cfg: CalibrationConfig = CalibrationConfig()
-) -> tuple[dict[str, tuple[str, Platt | Knots]], DataFrame]:
+) -> tuple[dict[str, tuple[str, Platt | KnotTable]], DataFrame]:
     """Choose a calibrator for each named table of scores.
 
-    All fitted calibrators of all tables are compared in one pass. Returns the choice per table
-    and the comparison table.
+    The isotonic fits of all tables are one table of knots, and all fitted calibrators of all tables are compared in one pass.
+    Returns the choice per table and the comparison table.
     """
     if not cfg.methods:
         raise ValueError("at least one calibration method is required")
     if cfg.metric not in SELECTION_METRICS:
         raise ValueError(f"unsupported selection metric: {cfg.metric}")
-    wanted = [(g, m) for g in frames for m in cfg.methods]
+    for method in cfg.methods:
+        if method not in ("platt", "isotonic"):
+            raise ValueError(f"unsupported calibration method: {method}")
     spark = next(iter(frames.values())).sparkSession
-    fitted = dict(zip(wanted, side_by_side(spark, [partial(fit_calibrator, frames[g], m) for g, m in wanted])))
-    parts = [
-        frames[g].select(F.lit(g).alias("grp"), F.lit(m).alias("method"), LABEL, model.column(F.col(SCORE)).alias(SCORE))
-        for (g, m), model in fitted.items()
-    ]
-    stacked = reduce(DataFrame.unionByName, parts)
-    rows = selection_metrics(stacked, ["grp", "method"]).collect()
+    stacked = reduce(DataFrame.unionByName, [df.select(F.lit(g).alias("grp"), LABEL, SCORE) for g, df in frames.items()])
+    fitted: dict[tuple[str, str], Platt | KnotTable] = {}
+    if "platt" in cfg.methods:
+        fitted |= zip([(g, "platt") for g in frames], side_by_side(spark, [partial(platt_fit, df) for df in frames.values()]), strict=True)
+    if "isotonic" in cfg.methods:
+        knots = isotonic_fit(stacked, "grp")
+        fitted |= {(g, "isotonic"): knots.of(g) for g in frames}
+    tried = stacked.withColumn("method", F.explode(F.array(*[F.lit(m) for m in cfg.methods]))).withColumn("_try", F.concat_ws("/", "grp", "method"))
+    scored = apply_calibrators(tried, {f"{g}/{m}": fitted[(g, m)] for g, m in fitted}, "_try")
+    rows = selection_metrics(scored, ["grp", "method"]).collect()
     value = {(r["grp"], r["method"]): r[cfg.metric] for r in rows}
     chosen = {g: min(cfg.methods, key=lambda m: value[(g, m)]) for g in frames}  # first method wins ties
-    comparison = stacked.sparkSession.createDataFrame(
+    comparison = spark.createDataFrame(
         [(r["grp"], r["method"], r["brier_score"], r["log_loss"], r["expected_calibration_error"], chosen[r["grp"]] == r["method"]) for r in rows],
         "grp string, method string, brier_score double, log_loss double, expected_calibration_error double, selected boolean",
     )
     return {g: (m, fitted[(g, m)]) for g, m in chosen.items()}, comparison
 
 
-def select_calibrator(valid: DataFrame, methods: Sequence[str] = ("platt", "isotonic"), metric: str = "brier_score") -> tuple[str, Platt | Knots, DataFrame]:
+def select_calibrator(valid: DataFrame, methods: Sequence[str] = ("platt", "isotonic"), metric: str = "brier_score") -> tuple[str, Platt | KnotTable, DataFrame]:
     picks, table = select_calibrators({"all": valid}, CalibrationConfig(tuple(methods), metric))
     return picks["all"][0], picks["all"][1], table.drop("grp")
 
@@ -176,14 +205,14 @@ class CalibrationResult:
     metrics: DataFrame
     comparison: DataFrame
     method: str
-    model: Platt | Knots
+    model: Platt | KnotTable
     threshold: float
 
 
 def calibrate(valid: DataFrame, test: DataFrame, cfg: CalibrationConfig = CalibrationConfig()) -> CalibrationResult:
     """Select a calibrator and a threshold on validation, apply both to validation and test."""
     method, model, comparison = select_calibrator(valid, cfg.methods, cfg.metric)
-    scored = {k: predictions(d.withColumn(SCORE, model.column(F.col(SCORE))), SCORE, cfg.threshold, clip=True) for k, d in (("valid", valid), ("test", test))}
+    scored = {k: predictions(apply_calibrator(d, model), SCORE, cfg.threshold, clip=True) for k, d in (("valid", valid), ("test", test))}
     threshold = resolve_threshold(scored["valid"], cfg.threshold_strategy, cfg.threshold).first()["threshold"]
     final = {k: predictions(d, SCORE, threshold, clip=True) for k, d in scored.items()}
     both = final["valid"].withColumn("split", F.lit("valid")).unionByName(final["test"].withColumn("split", F.lit("test")))
@@ -191,10 +220,11 @@ def calibrate(valid: DataFrame, test: DataFrame, cfg: CalibrationConfig = Calibr
     return CalibrationResult(final["valid"], final["test"], metrics, comparison, method, model, threshold)
 
 
-def calibrator_payload(models: Mapping[str, Platt | Knots]) -> dict:
-    """Plain dictionaries for storing fitted calibrators as JSON."""
+def calibrator_payload(models: Mapping[str, Calibrator], knots_at: Mapping[str, str] | None = None) -> dict:
+    """Plain dictionaries for storing fitted calibrators as JSON; a table of knots is named by the path it was written to."""
     return {
         k: {"type": "platt", "coefficient": m.coefficient, "intercept": m.intercept} if isinstance(m, Platt)
-        else {"type": "isotonic", "xs": list(m.xs), "ys": list(m.ys)}
+        else {"type": "isotonic", "xs": list(m.xs), "ys": list(m.ys)} if isinstance(m, Knots)
+        else {"type": "isotonic", "knots": (knots_at or {})[k]}
         for k, m in models.items()
     }

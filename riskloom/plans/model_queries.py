@@ -338,10 +338,28 @@ def k1(spark, d):
     return spark.createDataFrame([(m.coefficient, m.intercept)], "coefficient double, intercept double")
 
 
-@query("k2_isotonic_fit")
+# The max-min formula: at each score the largest over all starts before it of the least mean of a run that goes on past it.
+_MAXMIN = """pts AS (SELECT score AS x, sum(is_fraud)::DOUBLE AS s, count(*)::DOUBLE AS w FROM scored WHERE split = 'valid' GROUP BY 1),
+cum AS (SELECT x, row_number() OVER (ORDER BY x) AS i, sum(s) OVER (ORDER BY x) AS cs, sum(w) OVER (ORDER BY x) AS cw FROM pts),
+runs AS (SELECT a.i AS a, b.i AS b, (b.cs - coalesce(p.cs, 0)) / (b.cw - coalesce(p.cw, 0)) AS m FROM cum a JOIN cum b ON b.i >= a.i LEFT JOIN cum p ON p.i = a.i - 1),
+least AS (SELECT b AS i, min(m) OVER (PARTITION BY a ORDER BY b DESC) AS m FROM runs),
+fit AS (SELECT i, max(m) AS y FROM least GROUP BY i),
+knots AS (SELECT unnest(list_distinct([min(x), max(x)])) AS x, y FROM fit JOIN cum USING (i) GROUP BY y)"""
+
+
+@query("k2_isotonic_fit", with_ctes(A.SCORED, _MAXMIN) + "SELECT x, round(y, 9) AS y FROM knots")
 def k2(spark, d):
-    m = calibration.isotonic_fit(_pred(spark, d, "valid"))
-    return spark.createDataFrame(list(zip(m.xs, m.ys)), "x double, y double")
+    return rounded(calibration.isotonic_fit(_pred(spark, d, "valid")).table.select("x", "y"), "y", digits=9)
+
+
+@query("k2_isotonic_fit_and_apply", with_ctes(A.SCORED, _MAXMIN) + """
+SELECT transaction_id, round(greatest(0, least(1, CASE WHEN lo.x IS NULL THEN hi.y WHEN hi.x IS NULL OR lo.x = hi.x THEN lo.y ELSE lo.y + (score - lo.x) / (hi.x - lo.x) * (hi.y - lo.y) END)), 6) AS calibrated
+FROM (SELECT s.*, (SELECT max(x) FROM knots WHERE x <= score) AS below, (SELECT min(x) FROM knots WHERE x >= score) AS above FROM scored s) q
+LEFT JOIN knots lo ON lo.x = q.below LEFT JOIN knots hi ON hi.x = q.above""")
+def k2_apply(spark, d):
+    """Fitted on validation, merged with the scores of all rows."""
+    knots = calibration.isotonic_fit(_pred(spark, d, "valid"))
+    return rounded(calibration.apply_calibrator(_pred(spark, d), knots, out="calibrated").select("transaction_id", "calibrated"), "calibrated")
 
 
 _KNOTS = calibration.Knots((0.1, 0.25, 0.25, 0.6, 0.9), (0.02, 0.1, 0.2, 0.5, 0.95))

@@ -276,8 +276,8 @@ def test_isotonic_apply(spark):
 
 
 def test_isotonic_fit_pools(spark):
-    m = calibration.isotonic_fit(scores(spark, [(0, 0.1), (1, 0.2), (0, 0.3), (1, 0.3), (1, 0.9)]))
-    assert list(m.xs) == pytest.approx([0.1, 0.2, 0.3, 0.9]) and list(m.ys) == pytest.approx([0.0, 2 / 3, 2 / 3, 1.0])
+    m = calibration.isotonic_fit(scores(spark, [(0, 0.1), (1, 0.2), (0, 0.3), (1, 0.3), (1, 0.9)])).table.orderBy("x").collect()
+    assert [r.x for r in m] == pytest.approx([0.1, 0.2, 0.3, 0.9]) and [r.y for r in m] == pytest.approx([0.0, 2 / 3, 2 / 3, 1.0])
 
 
 def test_platt_is_the_balanced_optimum(spark):
