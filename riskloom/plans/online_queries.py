@@ -542,9 +542,7 @@ def _model_data(spark, d):
     return b.where(F.col("split") == "valid").drop("split"), b.where(F.col("split") == "test").drop("split")
 
 
-SMALL_FOREST = models.ForestConfig(trees=10, max_depth=5)
 SMALL_BOOST = models.BoostConfig(rounds=10, max_depth=3)
-SMALL_NYSTROM = models.NystromConfig(landmarks=32, max_iter=50)
 
 
 def _fit_and_score(spark, d, fit):
@@ -554,7 +552,7 @@ def _fit_and_score(spark, d, fit):
 
 @query("r1_fit_random_forest")
 def r1(spark, d):
-    return _fit_and_score(spark, d, lambda t, f: models.fit_random_forest(t, f, SMALL_FOREST))
+    return _fit_and_score(spark, d, lambda t, f: models.fit_random_forest(t, f))
 
 
 @query("r2_fit_gbt")
@@ -564,7 +562,7 @@ def r2(spark, d):
 
 @query("r3_fit_nystrom")
 def r3(spark, d):
-    return _fit_and_score(spark, d, lambda t, f: models.fit_nystrom(t, f, SMALL_NYSTROM))
+    return _fit_and_score(spark, d, lambda t, f: models.fit_nystrom(t, f))
 
 
 @query("r4_train_branch")
@@ -572,26 +570,26 @@ def r4(spark, d):
     train, test = _model_data(spark, d)
     # A part of its own to validate on, by a hash of the id.
     kept = F.pmod(F.xxhash64("transaction_id"), F.lit(5)) > 0
-    out = models.train_branch(train.where(kept), train.where(~kept), test, Contract(FEATURES), lambda t, f: models.fit_random_forest(t, f, SMALL_FOREST))
+    out = models.train_branch(train.where(kept), train.where(~kept), test, Contract(FEATURES), lambda t, f: models.fit_random_forest(t, f))
     return out.metrics
 
 
 @query("l22_permutation_importance")
 def l22(spark, d):
     train, test = _model_data(spark, d)
-    return models.permutation_importance(models.fit_random_forest(train, FEATURES, SMALL_FOREST), test, FEATURES, repeats=2)
+    return models.permutation_importance(models.fit_random_forest(train, FEATURES), test, FEATURES)
 
 
 @query("l23_feature_importance_table")
 def l23(spark, d):
     train, _ = _model_data(spark, d)
-    return models.feature_importance_table(models.fit_random_forest(train, FEATURES, SMALL_FOREST), FEATURES, train)
+    return models.feature_importance_table(models.fit_random_forest(train, FEATURES), FEATURES, train)
 
 
 def _bundle(spark, d):
     t = A.txn(spark, d)
     tab = prepare_tabular(history.behavioral_features(t), _split_txn(spark, d).select("transaction_id", "split"), ratio=2.0, top_k=6)
-    forest = models.fit_random_forest(tab.train, tab.features, SMALL_FOREST)
+    forest = models.fit_random_forest(tab.train, tab.features)
     valid = models.score_with(forest, tab.valid, tab.features)
     return scoring.Bundle(Contract(tab.features), {"tree_branch": forest}, FusionRecipe("best_branch", ("tree_branch",)), isotonic_fit(valid), 0.5, tab.stats), t
 
@@ -606,7 +604,7 @@ def m7(spark, d):
 @query("m8_score_branches")
 def m8(spark, d):
     train, test = _model_data(spark, d)
-    fitted = {"tree_branch": models.fit_random_forest(train, FEATURES, SMALL_FOREST), "boosted_branch": models.fit_gbt(train, FEATURES, SMALL_BOOST)}
+    fitted = {"tree_branch": models.fit_random_forest(train, FEATURES), "boosted_branch": models.fit_gbt(train, FEATURES, SMALL_BOOST)}
     return scoring.score_branches(test, fitted, FEATURES).select(
         "transaction_id", "tree_branch_score", "tree_branch_predicted_label", "boosted_branch_score", "boosted_branch_predicted_label"
     )
