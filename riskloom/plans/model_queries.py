@@ -98,6 +98,14 @@ def _tabular(spark, d, top_k=12):
 
 @query("h7_prepare_tabular")
 def h7(spark, d):
+    """Every row of the three tables with its scaled values, in the order of the selected features."""
+    t = _tabular(spark, d)
+    parts = [df.select(F.lit(k).alias("split"), "transaction_id", "is_fraud", F.array(*[F.round(F.col(f).cast("double"), 6) for f in t.features]).alias("scaled")) for k, df in (("train", t.train), ("valid", t.valid), ("test", t.test))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("h7_tabular_report")
+def h7_report(spark, d):
     return _tabular(spark, d).report
 
 
@@ -299,10 +307,35 @@ def j11(spark, d):
     return rounded(board.select("candidate", "branch_count", "validation_metric", "selection_score"), "validation_metric", "selection_score", digits=4)
 
 
+@query("j11_auto_select_all")
+def j11_all(spark, d):
+    """All six candidates, the trained one too, with the fused score of each test row under the winner."""
+    fused, board, recipe = fusion.auto_select(_valid(spark, d), _test(spark, d))
+    rows = fused.select(F.lit("row").alias("kind"), F.col("transaction_id").alias("name"), F.lit(recipe.candidate).alias("candidate"), F.round("raw_fused_score", 6).alias("value"))
+    ranked = board.select(F.lit("candidate").alias("kind"), F.col("branches").alias("name"), "candidate", F.round("selection_score", 4).alias("value"))
+    return ranked.unionByName(rows)
+
+
 @query("j12_fuse")
 def j12(spark, d):
+    """The fused score of each row, fitted on validation."""
     out, recipe = fusion.fuse(_valid(spark, d), _test(spark, d))
-    return out.groupBy(F.lit(recipe.candidate).alias("candidate")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("raw_fused_score"), 4).alias("mean_score"))
+    return rounded(out.select("transaction_id", F.lit(recipe.candidate).alias("candidate"), "raw_fused_score"), "raw_fused_score")
+
+
+@query("j12_fuse_reliability", with_ctes(A.BRANCHES, LONG, VALID_LONG, _REL) + f"""
+SELECT transaction_id, 'bayesian_reliability' AS candidate, round(({_TOP}) / ({_BOT}), 6) AS raw_fused_score FROM branches WHERE split = 'test'""")
+def j12_reliability(spark, d):
+    out, recipe = fusion.fuse(_valid(spark, d), _test(spark, d), fusion.FusionConfig(mode="bayesian_reliability"))
+    return rounded(out.select("transaction_id", F.lit(recipe.candidate).alias("candidate"), "raw_fused_score"), "raw_fused_score")
+
+
+@query("j12_fuse_weighted", with_ctes(A.BRANCHES) + """
+SELECT transaction_id, 'weighted_average' AS candidate, round(0.75 * branch_a_score + 0.25 * branch_c_score, 6) AS raw_fused_score FROM branches WHERE split = 'test'""")
+def j12_weighted(spark, d):
+    cfg = fusion.FusionConfig(mode="weighted_average", weights={"branch_a": 3.0, "branch_c": 1.0})
+    out, recipe = fusion.fuse(_valid(spark, d), _test(spark, d), cfg)
+    return rounded(out.select("transaction_id", F.lit(recipe.candidate).alias("candidate"), "raw_fused_score"), "raw_fused_score")
 
 
 @query("j13_apply_fusion", with_ctes(A.BRANCHES) + f"""
