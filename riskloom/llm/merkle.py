@@ -36,9 +36,13 @@ def leaf_digest(fields: Sequence[Column]) -> Column:
 
 
 def _parents(level: Column, fan: int) -> Column:
-    """The level above: fixed-width substrings of a level string, hashed run by run; the last run may be shorter."""
+    """The level above: fixed-width substrings of a level string, hashed run by run; the last run may be shorter.
+
+    Level strings are kept as bytes, in which a substring is found without counting the characters before it.
+    """
     run = fan * HEX
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(level), F.lit(run)), lambda at: F.sha2(F.substring(level, at, F.lit(run)), 256)), "")
+    digests = F.transform(F.sequence(F.lit(1), F.length(level), F.lit(run)), lambda at: F.sha2(F.substring(level, at, F.lit(run)), 256))
+    return F.array_join(digests, "").cast("binary")
 
 
 def _levels(lowest: Column, whole_tree: Column, config: MerkleConfig) -> Column:
@@ -57,14 +61,15 @@ def _segments(levels: Column, place: Column, fan: int) -> Column:
     def flanks(level: Column, up: Column) -> Column:
         at = F.floor(place / F.pow(F.lit(float(fan)), up)).cast("int")
         inside = at % fan
-        left = F.substring(level, (at - inside) * HEX + 1, inside * HEX)
-        return F.struct(left.alias("left"), F.substring(level, (at + 1) * HEX + 1, (fan - 1 - inside) * HEX).alias("right"))
+        left = F.substring(level, (at - inside) * HEX + 1, inside * HEX).cast("string")
+        right = F.substring(level, (at + 1) * HEX + 1, (fan - 1 - inside) * HEX).cast("string")
+        return F.struct(left.alias("left"), right.alias("right"))
 
     return F.transform(F.slice(levels, F.lit(1), F.size(levels) - 1), flanks)
 
 
-def climb(nodes: DataFrame, config: MerkleConfig) -> DataFrame:
-    """``nodes(key, pos, hash, load)`` -> ``(key, pos, hash, load, path, top)``: one tree for each key over its nodes by ``pos``.
+def climb(nodes: DataFrame, config: MerkleConfig) -> tuple[DataFrame, DataFrame]:
+    """``nodes(key, pos, hash, load)`` -> ``(key, pos, hash, load, path, top)`` and ``(key, top)``: a tree for each key over its nodes by ``pos``.
 
     ``pos`` runs from 0 without gaps. ``path`` holds the siblings left and right of the node and of its ancestors, ``top`` the root.
     Blocks of ``fan ** levels`` nodes are rows; their roots are the nodes of the next round, so each round has that many fewer.
@@ -74,18 +79,18 @@ def climb(nodes: DataFrame, config: MerkleConfig) -> DataFrame:
     )
     packed = stage(packed, "merkle-blocks")
     sizes = packed.groupBy("key").agg(F.count("*").alias("blocks"))
-    lowest = F.array_join(F.transform("nodes", lambda x: x["hash"]), "")
+    lowest = F.array_join(F.transform("nodes", lambda x: x["hash"]), "").cast("binary")
     blocks = packed.join(sizes, "key").withColumn("levels", _levels(lowest, F.col("blocks") == 1, config))
-    above = blocks.select("key", F.col("block").alias("pos"), F.element_at("levels", -1).alias("hash"), F.lit(None).cast("boolean").alias("load"))
+    above = blocks.select("key", F.col("block").alias("pos"), F.element_at("levels", -1).cast("string").alias("hash"), F.lit(None).cast("boolean").alias("load"))
     if (sizes.agg(F.max("blocks")).first()[0] or 1) > 1:
         # Keys of one block are lone nodes from here on and keep their root.
-        upper = climb(above, config).select("key", F.col("pos").alias("block"), F.col("path").alias("upper"), "top")
+        upper = climb(above, config)[0].select("key", F.col("pos").alias("block"), F.col("path").alias("upper"), "top")
     else:
         none = F.array().cast("array<struct<left:string,right:string>>")
         upper = above.select("key", F.col("pos").alias("block"), none.alias("upper"), F.col("hash").alias("top"))
     full = stage(blocks.drop("blocks").join(upper, ["key", "block"]), "merkle-levels")
     rows = F.transform("nodes", lambda x, i: F.struct(x["pos"].alias("pos"), x["hash"].alias("hash"), x["load"].alias("load"), F.concat(_segments(F.col("levels"), i, config.fan), F.col("upper")).alias("path")))
-    return full.select("key", "top", F.explode(rows).alias("row")).select("key", "row.*", "top")
+    return full.select("key", "top", F.explode(rows).alias("row")).select("key", "row.*", "top"), full.where("block = 0").select("key", "top")
 
 
 # --- operators -----------------------------------------------------------------------------------------
@@ -109,10 +114,10 @@ def manifest(rows: DataFrame, fields: Sequence[str], order: str, group: str, loa
     first = placed.groupBy("key").agg(F.min("ordinal").alias("first"))
     nodes = placed.join(F.broadcast(first) if first.count() <= 10_000 else first, "key")
     nodes = nodes.select("key", (F.col("ordinal") - F.col("first")).alias("pos"), "hash", F.struct("id", "load").alias("load"))
-    trees = climb(nodes, config).withColumnRenamed("top", "subroot")
-    roots = trees.where("pos = 0").select("key", F.col("subroot").alias("hash"))
+    trees, roots = climb(nodes, config)
+    trees, roots = trees.withColumnRenamed("top", "subroot"), roots.withColumnRenamed("top", "hash")
     tops = global_ordinal(roots, ["key"]).select(F.lit("").alias("key"), (F.col("ordinal") - 1).alias("pos"), "hash", F.col("key").alias("load"))
-    over = climb(tops, config).select(F.col("load").alias("key"), F.col("path").alias("over"), F.col("top").alias("root"))
+    over = climb(tops, config)[0].select(F.col("load").alias("key"), F.col("path").alias("over"), F.col("top").alias("root"))
     path = F.concat("path", "over").alias("path")
     return trees.join(over, "key").select(F.col("load.id").alias(order), F.col("load.load").alias("load"), F.col("hash").alias("leaf"), path, "subroot", "root")
 
