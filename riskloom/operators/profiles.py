@@ -19,6 +19,8 @@ from riskloom.operators.skew import HOT_ROWS, halo_rows, hot_keys, segment, segm
 
 TEN_MINUTES, HOUR = 600, 3600
 KNOWN = ("country", "channel", "destination")
+#: Column of :func:`as_of_profile` with a key's state before all of its events.
+START = "_start"
 CARRY = ("_rows", "_values", "_mean", "_m2", "_break_10min", "_break_hour")
 
 
@@ -33,7 +35,30 @@ def _order_key(order: Sequence[str]) -> Column:
 
 def _look_back(df: DataFrame, keys, order, ts: str, carried: Sequence[str]) -> DataFrame:
     w = _w(keys, order)
-    return df.withColumns({"_prev_ts": F.lag(ts).over(w), **{f"last_{c}": F.lag(c).over(w) for c in carried}})
+    before = {"_prev_ts": F.lag(ts).over(w), **{f"last_{c}": F.lag(c).over(w) for c in carried}}
+    if START not in df.columns:
+        return df.withColumns(before)
+    # Of the rows that stay, only a key's first event is the first of its window.
+    first, start = F.row_number().over(w) == 1, F.col(START)
+    known = {"_prev_ts": start["last_ts"], **{f"last_{c}": start[f"last_{c}"] for c in carried}}
+    return df.withColumns({n: F.when(first, known[n]).otherwise(e) for n, e in before.items()})
+
+
+def _add_start(df: DataFrame) -> DataFrame:
+    """The carry of each row with what its key had before all of these events."""
+    if START not in df.columns:
+        return df
+    s = F.col(START)
+    n = F.coalesce(s["n"], F.lit(0))
+    total = n + F.col("_values")
+    share = F.when(total > 0, F.col("_values") / total).otherwise(0.0)
+    delta = F.col("_mean") - F.coalesce(s["mean"], F.lit(0.0))
+    return df.withColumns({
+        "_rows": F.col("_rows") + n, "_values": total,
+        "_mean": F.coalesce(s["mean"], F.lit(0.0)) + delta * share, "_m2": F.col("_m2") + F.coalesce(s["m2"], F.lit(0.0)) + delta * delta * n * share,
+        "_break_10min": F.coalesce(F.col("_break_10min") + n, n - s["in_10min"] + 1),
+        "_break_hour": F.coalesce(F.col("_break_hour") + n, n - s["in_hour"] + 1),
+    })
 
 
 def _breaks(df: DataFrame, ts: str) -> DataFrame:
@@ -54,6 +79,7 @@ def _in_group(df: DataFrame, keys, order, amount: str, cold: bool) -> DataFrame:
             "_rows": F.lit(0).cast("bigint"), "_values": F.lit(0).cast("bigint"), "_mean": F.lit(0.0), "_m2": F.lit(0.0),
             "_break_10min": F.lit(None).cast("bigint"), "_break_hour": F.lit(None).cast("bigint"),
         })
+    df = _add_start(df)
     value = F.coalesce(F.col(amount).cast("double"), F.lit(0.0))
     df = df.withColumns({
         "_pos": F.col("_rows") + F.row_number().over(w),
@@ -124,12 +150,17 @@ def _novelty_hot(df: DataFrame, key: str, order: Sequence[str], values: Sequence
 def as_of_profile(
     events: DataFrame, key: str = "user_id", order: Sequence[str] = ("event_time", "transaction_id"), amount: str = "amount",
     ts: str = "event_time", known: Sequence[str] = KNOWN, carried: Sequence[str] = ("country",), hot_rows: int = HOT_ROWS,
+    start: DataFrame | None = None, seen: DataFrame | None = None,
 ) -> DataFrame:
     """Append the profile as it stood strictly before each event.
 
     ``tx_count, avg_amount, std_dev_amount, tx_last_10min, tx_last_hour, last_<carried>,
-    <known>_is_new`` (the value was not seen before).
+    <known>_is_new`` (the value was not seen before). ``start`` holds one row ``(<key>, n, mean, m2, in_10min, in_hour, last_ts,
+    last_<carried>)`` for keys that had events before these, and ``seen`` their known values ``(<key>, kind, value)``.
     """
+    names = events.columns
+    if start is not None:
+        events = events.join(start.select(key, F.struct(*[c for c in start.columns if c != key]).alias(START)), key, "left")
     known = [k for k in known if k in events.columns]
     carried = [c for c in carried if c in events.columns]
     keys, rows = hot_keys(events, key, hot_rows)
@@ -141,24 +172,47 @@ def as_of_profile(
 
     def tidy(df: DataFrame) -> DataFrame:
         return df.select(
-            *events.columns, "tx_count", "avg_amount", "std_dev_amount", "tx_last_10min", "tx_last_hour",
+            *names, *([START] if start is not None else []), "tx_count", "avg_amount", "std_dev_amount", "tx_last_10min", "tx_last_hour",
             F.col("_after_10min").alias("tx_last_10min_after"), F.col("_after_hour").alias("tx_last_hour_after"),
             *[f"last_{c}" for c in carried], *[f"{k}_is_new" for k in known],
         )
 
+    def unseen(df: DataFrame) -> DataFrame:
+        for k in known if seen is not None else []:
+            had = seen.where(F.col("kind") == k).select(key, F.col("value").alias(k), F.lit(True).alias("_had"))
+            df = df.join(had, [key, k], "left").withColumn(f"{k}_is_new", F.col(f"{k}_is_new") & F.col("_had").isNull()).drop("_had")
+        return df
+
     if keys is None:
-        return tidy(cold_path(events))
+        return unseen(tidy(cold_path(events)))
     cold, hot = split_hot(events, key, keys)
     placed = segment(hot, key, order, segments_for(rows, hot_rows))
     full_order = [*order, "_rid"]
     cols = nulls_last(full_order)
     halo = halo_rows(placed, key, order, 1, None).withColumn("_halo", F.lit(True))
-    seen = placed.withColumn("_halo", F.lit(False)).unionByName(halo)
-    marked = _breaks(_look_back(seen, [key, "_seg"], cols, ts, carried), ts).where(~F.col("_halo"))
+    with_halo = placed.withColumn("_halo", F.lit(False)).unionByName(halo)
+    marked = _breaks(_look_back(with_halo, [key, "_seg"], cols, ts, carried), ts).where(~F.col("_halo"))
     carry = _segment_carry(marked, key, cols, amount)
     joined = marked.join(carry, marked[key].eqNullSafe(carry["_key"]) & (marked["_seg"] == carry["_seg_no"]))
     combined = _in_group(joined, [key, "_seg"], cols, amount, cold=False)
-    return tidy(cold_path(cold)).unionByName(tidy(_novelty_hot(combined, key, order, known)))
+    return unseen(tidy(cold_path(cold)).unionByName(tidy(_novelty_hot(combined, key, order, known))))
+
+
+def state_after(profiled: DataFrame, key: str = "user_id", order: Sequence[str] = ("event_time", "transaction_id"), amount: str = "amount", ts: str = "event_time", carried: Sequence[str] = ("country",)) -> DataFrame:
+    """The ``start`` that the rows of :func:`as_of_profile`, called with one, leave behind: one row for each of their keys."""
+    value = F.coalesce(F.col(amount).cast("double"), F.lit(0.0))
+    last = _order_key(order)
+    per = profiled.groupBy(key).agg(
+        F.max(START).alias("s"), F.count(F.lit(1)).alias("c"), F.avg(value).alias("a"), (F.var_pop(value) * F.count(F.lit(1))).alias("v"),
+        F.max_by("tx_last_10min_after", last).alias("in_10min"), F.max_by("tx_last_hour_after", last).alias("in_hour"), F.max_by(ts, last).alias("last_ts"),
+        *[F.max_by(x, last).alias(f"last_{x}") for x in carried],
+    )
+    n, mean = F.coalesce("s.n", F.lit(0)), F.coalesce("s.mean", F.lit(0.0))
+    total, delta = n + F.col("c"), F.col("a") - mean
+    return per.select(
+        key, total.alias("n"), (mean + delta * F.col("c") / total).alias("mean"), (F.coalesce("s.m2", F.lit(0.0)) + F.col("v") + delta * delta * n * F.col("c") / total).alias("m2"),
+        "in_10min", "in_hour", "last_ts", *[f"last_{x}" for x in carried],
+    )
 
 
 def profile_fold(events: DataFrame, key: str = "user_id", order: Sequence[str] = ("event_time", "transaction_id"), amount: str = "amount", ts: str = "event_time", hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -258,8 +258,8 @@ def _run_dir(spark, name):
     return f"{stage_root(spark)}/riskloom-streams/{name}-{uuid.uuid4().hex}"
 
 
-def run_stream(spark, d):
-    """Write the events as three files in the order of time, run the online query over them file by file, return its folders."""
+def run_stream(spark, d, store=None):
+    """Write the events in three folders in the order of time, run the online query over one after the other, return its folders."""
     base = _run_dir(spark, "online")
     events = _events(spark, d)
     at = A.table(spark, d, "events").select(F.col("event_id").alias("_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("_at"))
@@ -267,9 +267,9 @@ def run_stream(spark, d):
     cuts = at.agg(F.percentile_approx("_at", [1 / 3, 2 / 3])).first()[0]
     third = F.when(F.col("_at") <= cuts[0], 0).when(F.col("_at") <= cuts[1], 1).otherwise(2)
     for part in range(3):
-        timed.where(third == part).drop("event_id", "_id", "_at").coalesce(1).write.mode("append").parquet(f"{base}/in")
-    q = online.process_stream(online.read_events(spark, f"{base}/in", files_per_batch=1), SPEC, f"{base}/decisions", f"{base}/audit", f"{base}/checkpoint")
-    q.awaitTermination()
+        timed.where(third == part).drop("event_id", "_id", "_at").write.mode("append").parquet(f"{base}/in")
+        # The checkpoint goes on where it was, and the store and the table with it.
+        online.process_stream(online.read_events(spark, f"{base}/in"), SPEC, f"{base}/decisions", f"{base}/audit", f"{base}/checkpoint", store=store and store(f"{base}/profiles")).awaitTermination()
     return base
 
 

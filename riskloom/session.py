@@ -70,8 +70,13 @@ _STAGES: list[str] = []
 def clear_stages(spark: SparkSession, keep: int = 0) -> None:
     """Delete the tables this process staged (all but the first ``keep``); results read from them are then gone."""
     while len(_STAGES) > keep:
-        target = spark._jvm.org.apache.hadoop.fs.Path(_STAGES.pop())
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        delete(spark, _STAGES.pop())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system Spark knows; one that is not there is left alone."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 @contextmanager
@@ -82,8 +87,7 @@ def staged(df: DataFrame, name: str) -> Iterator[DataFrame]:
     try:
         yield out
     finally:
-        target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+        delete(df.sparkSession, path)
 
 
 @contextmanager

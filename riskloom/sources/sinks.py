@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -35,6 +35,32 @@ def insert_if_absent(batch: DataFrame, target: DataFrame, key: str = "transactio
     return fresh.join(target.select(key), key, "left_anti").select(*batch.columns)
 
 
+#: Bits of the filter of one bucket; Spark's bitmaps have that many.
+_BITS = 32_768
+
+
+def _bit(key: str) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(1)), F.lit(_BITS))
+
+
+def insert_bucketed(batch: DataFrame, path: str, key: str = "transaction_id", order: list[str] | None = None, buckets: int = 64) -> None:
+    """Append to the table at ``path`` the first row of each key of ``batch`` that it does not hold yet.
+
+    The table lies in folders by a hash of the key. Only the folders that the batch's keys fall into are read, of them only the keys,
+    and of these only those whose bit is set in the batch's filter of the bucket (4 KB each, so the broadcast is bounded by the
+    number of buckets) go on to the anti join. ``batch`` must read the same twice. Writing the same batch again adds nothing.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    fresh = first_per_key(batch, key, order or [c for c in batch.columns if c != key]).withColumn("bucket", place)
+    bits = batch.select(place.alias("bucket"), _bit(key).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    touched = [r["bucket"] for r in bits.select("bucket").collect()]
+    held = batch.sparkSession.read.schema(f"{key} {batch.schema[key].dataType.simpleString()}, bucket int").parquet(path).where(F.col("bucket").isin(touched))
+    byte = F.conv(F.hex(F.substring("bits", F.floor(_bit(key) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    maybe = held.join(F.broadcast(bits), "bucket").where(byte.bitwiseAND(F.pow(F.lit(2), _bit(key) % 8).cast("int")) != 0)
+    new = fresh.join(maybe.select("bucket", key), ["bucket", key], "left_anti").select(*batch.columns, "bucket")
+    new.write.mode("append").partitionBy("bucket").parquet(path)
+
+
 def profile_lookup(events: DataFrame, snapshot: DataFrame, key: str = "user_id") -> DataFrame:
     """Attach the stored profile; an unknown user gets the empty profile."""
     defaults = {

@@ -13,9 +13,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from riskloom.operators.policy import rule_score_as_of
 from riskloom.operators.scoring import ScoringSpec, score_events, validate_request
-from riskloom.session import staged
-from riskloom.sources.sinks import insert_if_absent
-from riskloom.streaming.profiles import with_profile
+from riskloom.session import scratch, stage
+from riskloom.sources.sinks import insert_bucketed
+from riskloom.streaming.state import ProfileStore
 
 EVENT_SCHEMA = (
     "trace struct<request_id:string,source_system:string,source_component:string,source_region:string>, "
@@ -71,12 +71,6 @@ def reject_stream(events: DataFrame, path: str, checkpoint: str, available_now:
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def enriched_events(events: DataFrame, spec: ScoringSpec) -> DataFrame:
-    """Stream of scored events with the profile before each event and the rule flags."""
-    flat = flatten_events(score_events(accepted(events), spec))
-    return rule_score_as_of(with_profile(flat))
-
-
 def decision_rows(batch: DataFrame) -> DataFrame:
     values = {
         "timestamp": F.col("event_time"), "destination_account": F.col("destination"),
@@ -93,21 +87,28 @@ def _split_ddl(ddl: str) -> list[str]:
 
 
 def process_stream(
-    events: DataFrame, spec: ScoringSpec, table_path: str, audit_path: str, checkpoint: str, available_now: bool = True
+    events: DataFrame, spec: ScoringSpec, table_path: str, audit_path: str, checkpoint: str, available_now: bool = True,
+    store: ProfileStore | None = None, buckets: int = 64,
 ) -> StreamingQuery:
-    """Start the query. ``checkpoint`` belongs on shared storage; state recovers from it."""
-    spark = events.sparkSession
+    """Start the query. ``checkpoint`` and the profile store (beside the table unless given) belong on shared storage.
+
+    Each micro-batch is a table: its profiles come from the batch operator, started from the store, so a user with any share of
+    the events is cut into segments as in batch; the decisions lie in ``buckets`` folders by a hash of the id.
+    """
+    spark, store = events.sparkSession, store or ProfileStore(f"{table_path}-profiles")
     # No rows, only the schema, so that the first batch finds a table to compare with.
     spark.createDataFrame([], DECISION_SCHEMA).write.mode("ignore").parquet(table_path)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        # Written once: two sinks read it, and a second pass must not see another processing time.
-        with staged(batch.withColumn("processed_at", F.current_timestamp()), f"batch{batch_id}") as done:
-            target = batch.sparkSession.read.schema(DECISION_SCHEMA).parquet(table_path)
-            insert_if_absent(decision_rows(done), target, "transaction_id", ["timestamp"]).write.mode("append").parquet(table_path)
+        with scratch(batch.sparkSession):
+            flat = stage(flatten_events(score_events(batch, spec)), f"scored{batch_id}")
+            flagged = rule_score_as_of(store.attach(flat, batch_id))
+            # Written once: two sinks read it, and a second pass must not see another processing time.
+            done = stage(flagged.withColumn("processed_at", F.current_timestamp()), f"batch{batch_id}")
+            insert_bucketed(decision_rows(done), table_path, "transaction_id", ["timestamp"], buckets)
             _write_audit(done.withColumn("batch", F.lit(batch_id)), audit_path)
 
-    writer = enriched_events(events, spec).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append")
+    writer = accepted(events).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
