@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator, Sequence
 from pathlib import PurePosixPath
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.functions.columns import NA_TOKENS, null_tokens
+from riskloom.session import stage
 
 FILE_POSITION = ("_file", "_block", "_pos")
 
@@ -92,37 +94,48 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 # --- checksums --------------------------------------------------------------------------
 
 def file_checksums(spark: SparkSession, folder: str) -> DataFrame:
-    """``path, size_bytes, sha256`` of every file below ``folder`` except dotfiles, empty files included.
+    """``path, size_bytes, sha256`` of every file below ``folder`` but those whose name begins with a dot; empty files count.
 
-    Files are hashed in chunks where they lie, whatever their size; only names and sizes are listed before.
+    Spark's own file scan passes over names with an underscore and over empty files, so folders are listed here, those of one depth by the
+    tasks of one job. Files are hashed in chunks where they lie, whatever their size.
     """
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.col("length").alias("size_bytes"))
-        .where(~F.element_at(F.split("path", "/"), -1).startswith("."))
-    )
-    kind = "path string, size_bytes bigint, sha256 string"
-    return files.mapInPandas(_hash_in_chunks, kind).unionByName(_empty_files(spark, folder, kind))
-
-
-def _empty_files(spark: SparkSession, folder: str, kind: str) -> DataFrame:
-    """Files of zero length, which Spark's file scan passes over; metadata only."""
     root = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    listing = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True)
-    nothing, rows = hashlib.sha256().hexdigest(), []
-    while listing.hasNext():
-        status = listing.next()
-        if status.getLen() == 0 and not status.getPath().getName().startswith((".", "_")):
-            rows.append((status.getPath().toString(), 0, nothing))
-    return spark.createDataFrame(rows, kind)
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString()
+    level, files = spark.createDataFrame([(root,)], "path string"), None
+    while True:
+        entries = stage(level.repartition(spark.sparkContext.defaultParallelism).mapInPandas(_entries, "path string, size_bytes bigint, is_folder boolean"), "entries")
+        here = entries.where(~F.col("is_folder") & ~F.element_at(F.split("path", "/"), -1).startswith(".")).select("path", "size_bytes")
+        files = here if files is None else files.unionByName(here)
+        level = entries.where("is_folder").select("path")
+        if level.isEmpty():
+            return files.repartition(spark.sparkContext.defaultParallelism).mapInPandas(_hash_in_chunks, "path string, size_bytes bigint, sha256 string")
+
+
+def _place(path: str):
+    """File system and path of a qualified path, in which names are as they are, not quoted."""
+    from pyarrow import fs
 
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(quote(path, safe="/:@"))
 
-def _hash_in_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from pyarrow import fs
 
+    for batch in batches:
+        for path in batch["path"]:
+            system, inner = _place(path)
+            found = system.get_file_info(fs.FileSelector(inner))
+            rows = [(f"{path.rstrip('/')}/{i.base_name}", i.size if i.is_file else 0, i.type == fs.FileType.Directory) for i in found]
+            yield pd.DataFrame(rows, columns=["path", "size_bytes", "is_folder"])
+
+
+def _hash_in_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         digests = []
         for path in batch["path"]:
-            system, inner = fs.FileSystem.from_uri(path)
+            system, inner = _place(path)
             digest = hashlib.sha256()
             with system.open_input_stream(inner) as stream:
                 while chunk := stream.read(1 << 20):

@@ -104,6 +104,17 @@ def test_checksums_list_empty_files(spark, folder):
     assert got == {"none": (0, hashlib.sha256().hexdigest()), "one": (1, hashlib.sha256(b"1").hexdigest())}
 
 
+def test_checksums_list_all_names(spark, folder):
+    for name in ("_a", "b", ".c", "_under/x y", "deep/er/50% ü", ".hidden/d"):
+        pathlib.Path(folder, name).parent.mkdir(parents=True, exist_ok=True)
+        pathlib.Path(folder, name).write_bytes(b"1" * len(name))
+    pathlib.Path(folder, "e").write_bytes(b"")
+    pathlib.Path(folder, "none").mkdir()
+    got = {r.path.split(folder + "/", 1)[1]: (r.size_bytes, r.sha256) for r in files.file_checksums(spark, folder).collect()}
+    names = ("_a", "b", "_under/x y", "deep/er/50% ü", ".hidden/d")
+    assert got == {n: (len(n), hashlib.sha256(b"1" * len(n)).hexdigest()) for n in names} | {"e": (0, hashlib.sha256().hexdigest())}
+
+
 def test_line_breaks_in_quoted_fields(spark, folder):
     pathlib.Path(folder, "a.csv").write_text('transaction_id,note\n1,"two\nlines, ""quoted"""\n2,x\n')
     got = files.read_raw_csv(spark, f"{folder}/a.csv", line_breaks=True).collect()
