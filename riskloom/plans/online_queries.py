@@ -542,7 +542,6 @@ def _model_data(spark, d):
     return b.where(F.col("split") == "valid").drop("split"), b.where(F.col("split") == "test").drop("split")
 
 
-SMALL_BOOST = models.BoostConfig(rounds=10, max_depth=3)
 
 
 def _fit_and_score(spark, d, fit):
@@ -557,7 +556,7 @@ def r1(spark, d):
 
 @query("r2_fit_gbt")
 def r2(spark, d):
-    return _fit_and_score(spark, d, lambda t, f: models.fit_gbt(t, f, SMALL_BOOST))
+    return _fit_and_score(spark, d, lambda t, f: models.fit_gbt(t, f))
 
 
 @query("r3_fit_nystrom")
@@ -604,7 +603,7 @@ def m7(spark, d):
 @query("m8_score_branches")
 def m8(spark, d):
     train, test = _model_data(spark, d)
-    fitted = {"tree_branch": models.fit_random_forest(train, FEATURES), "boosted_branch": models.fit_gbt(train, FEATURES, SMALL_BOOST)}
+    fitted = {"tree_branch": models.fit_random_forest(train, FEATURES), "boosted_branch": models.fit_gbt(train, FEATURES)}
     return scoring.score_branches(test, fitted, FEATURES).select(
         "transaction_id", "tree_branch_score", "tree_branch_predicted_label", "boosted_branch_score", "boosted_branch_predicted_label"
     )
