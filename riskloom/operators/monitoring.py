@@ -180,10 +180,16 @@ def rollback_check(active_log: DataFrame, baseline_log: DataFrame, thresholds: M
 
 def windowed_monitoring(log: DataFrame, ts: str = "processed_at", minutes: int = 60, consecutive: int = 2, latency: str = "latency_ms", limit: float = 75.0) -> DataFrame:
     """Extension. Mean latency per window; critical when ``consecutive`` adjacent windows breach."""
-    windows = log.where(F.col(ts).isNotNull()).groupBy(F.window(F.col(ts).cast("timestamp"), f"{minutes} minutes").alias("w")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(latency).alias("mean_latency_ms")
-    )
-    rows = windows.select(F.col("w.start").alias("window_start"), "n", "mean_latency_ms", (F.col("mean_latency_ms") >= limit).alias("breach"))
+    return breach_severity(latency_windows(log.where(F.col(ts).isNotNull()).withColumn(ts, F.col(ts).cast("timestamp")), ts, minutes, latency, limit), minutes, consecutive)
+
+
+def latency_windows(log: DataFrame, ts: str, minutes: int, latency: str, limit: float) -> DataFrame:
+    """``window_start, n, mean_latency_ms, breach`` of a table or a stream with a watermark."""
+    windows = log.groupBy(F.window(ts, f"{minutes} minutes").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.avg(latency).alias("mean_latency_ms"))
+    return windows.select(F.col("w.start").alias("window_start"), "n", "mean_latency_ms", (F.col("mean_latency_ms") >= limit).alias("breach"))
+
+
+def breach_severity(rows: DataFrame, minutes: int = 60, consecutive: int = 2) -> DataFrame:
     # One row per window: bounded by time, not by traffic. A window without traffic ends a run.
     step = minutes * 60
     along = W.orderBy(F.unix_seconds("window_start")).rangeBetween(-step * (consecutive - 1), 0)

@@ -17,6 +17,7 @@ from riskloom.plans.data_queries import _split_txn
 from riskloom.plans.model_queries import AP, AUC, FLAT, PRF, curve_cte
 from riskloom.plans.registry import as_text, query, rounded, with_ctes
 from riskloom.session import stage_root
+from riskloom.streaming import monitor
 from riskloom.streaming import process as online
 
 GEO_W = "PARTITION BY user_id ORDER BY event_time, transaction_id"
@@ -413,15 +414,38 @@ def o7(spark, d):
     return rounded(out, "active", "baseline", "drop")
 
 
-@query("o9_windowed_monitoring", with_ctes(A.DECISIONS) + """
+_WINDOWED = with_ctes(A.DECISIONS) + """
 , w AS (SELECT time_bucket(INTERVAL 60 MINUTE, processed_at) AS t, count(*) AS n, avg(latency_ms) AS mean_latency_ms FROM decisions WHERE processed_at IS NOT NULL GROUP BY 1),
 b AS (SELECT *, mean_latency_ms >= 75 AS breach FROM w), p AS (SELECT b.*, coalesce(q.breach, false) AS before FROM b LEFT JOIN b q ON q.t = b.t - INTERVAL 60 MINUTE)
-SELECT CAST(epoch(t) AS BIGINT) AS window_start, n, round(mean_latency_ms, 6) AS mean_latency_ms, breach, CASE WHEN breach AND before THEN 'critical' WHEN breach THEN 'warning' ELSE 'ok' END AS severity FROM p""")
+SELECT CAST(epoch(t) AS BIGINT) AS window_start, n, round(mean_latency_ms, 6) AS mean_latency_ms, breach, CASE WHEN breach AND before THEN 'critical' WHEN breach THEN 'warning' ELSE 'ok' END AS severity FROM p"""
+
+
+@query("o9_windowed_monitoring", _WINDOWED)
 def o9(spark, d):
     out = monitoring.windowed_monitoring(A.decisions(spark, d))
     return rounded(out.withColumn("window_start", F.unix_seconds("window_start")), "mean_latency_ms")
 
 
+@query("o9_monitoring_stream", _WINDOWED)
+def o9_stream(spark, d):
+    """The log in four batches by time, some rows up to 50 minutes late, and at the end one row far ahead that closes the last windows."""
+    base = _run_dir(spark, "monitor")
+    log = A.decisions(spark, d).select("processed_at", "latency_ms", "transaction_id").where("processed_at is not null")
+    at = F.unix_seconds(F.col("processed_at").cast("timestamp"))
+    arrives = at + F.when(F.pmod(F.xxhash64("transaction_id"), F.lit(7)) == 0, 3000).otherwise(0)
+    low, high = log.agg(F.min(arrives), F.max(arrives)).first()
+    part = F.least(F.floor((arrives - low) * 4 / (high - low + 1)), F.lit(3))
+    schema = "processed_at timestamp, latency_ms double"
+    for i in range(5):
+        rows = log.where(part == i).select(F.col("processed_at").cast("timestamp").alias("processed_at"), F.col("latency_ms").cast("double").alias("latency_ms"))
+        if i == 4:
+            rows = spark.range(1).select(F.timestamp_seconds(F.lit(high + 10 * 86_400)).alias("processed_at"), F.lit(0.0).alias("latency_ms"))
+        rows.write.mode("append").parquet(f"{base}/in")
+        monitor.monitor_stream(spark.readStream.schema(schema).parquet(f"{base}/in"), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    out = spark.read.schema(monitor.WINDOW_SCHEMA).parquet(f"{base}/out").drop("batch")
+    return rounded(out.withColumn("window_start", F.unix_seconds("window_start")), "mean_latency_ms")
+
+
 def _retraining_sql() -> str:
     limits = {
         "score_drift_psi": 0.25, "precision_drop_absolute": 0.08, "recall_drop_absolute": 0.08, "brier_score_increase_absolute": 0.02,
