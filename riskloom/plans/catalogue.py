@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.plans import data_queries, model_queries, online_queries  # noqa: F401
+from riskloom.plans import data_queries, io_queries, model_queries, online_queries  # noqa: F401
 from riskloom.plans.registry import ORACLES, QUERIES, Query
 
 

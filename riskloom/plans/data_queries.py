@@ -524,7 +524,10 @@ def f8(spark, d):
 SELECT transaction_id AS current_transaction_id, name_orig, least(row_number() OVER ({TXN_W}) - 1, 10) AS history_length, round({_SEQ_SUM}, 2) AS weighted_amounts,
        round(amount, 2) AS current_amount, is_fraud AS y FROM txn""")
 def f9(spark, d):
-    out = history.sequence_dataset(A.txn(spark, d))
+    return sequence_digest(history.sequence_dataset(A.txn(spark, d)))
+
+
+def sequence_digest(out):
     amounts = F.transform("x_seq", lambda v, i: F.round(v[0].cast("double"), 2) * (i + 1))
     total = F.aggregate(amounts, F.lit(0.0), lambda acc, v: acc + v)
     return out.select(
