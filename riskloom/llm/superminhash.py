@@ -26,7 +26,7 @@ class NearConfig:
     bands: int = 24
     rows: int = 4
     #: Rounds in which every text meets one leader of each of its buckets, before the exact search of the rest.
-    rounds: int = 2
+    rounds: int = 1
     #: Pairs of one leader that share a task.
     spread: int = 2048
 
@@ -190,18 +190,30 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, config: NearConfig) -> DataFra
 # --- candidates ----------------------------------------------------------------------------------------
 
 
-def _named(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """``rows(sid, ...)`` with ``c``, the part that the links found so far put each text in."""
-    if roots is None:
+def _named(rows: DataFrame, links: DataFrame | None) -> DataFrame:
+    """``rows(sid, ...)`` with ``c``, the least text that a few steps along the links reach.
+
+    Two steps join all texts of one leader, further ones leaders that share a text. Texts of one ``c`` are linked; parts that more steps
+    would join only bring pairs that need not have been looked at.
+    """
+    if links is None:
         return rows.withColumn("c", F.col("sid"))
-    return rows.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("c", F.coalesce("root", "sid")).drop("root")
+    both = stage(links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))), "near-both")
+    least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("c"))
+    for _ in range(2):
+        least = both.join(least.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("c").alias("c"))
+    return rows.join(least.withColumnRenamed("u", "sid").withColumnRenamed("c", "q"), "sid", "left").withColumn("c", F.coalesce("q", "sid")).drop("q")
 
 
 def _to_leaders(buckets: DataFrame, draw: int) -> DataFrame:
-    """Every text of ``buckets(k, sid, c)`` with one leader of each of its buckets, if they are not joined yet."""
-    # The same order in all buckets, so that a pair which shares many of them comes once.
-    order = F.struct(F.xxhash64("sid", F.lit(draw)).alias("h"), "sid", "c")
-    lead = buckets.groupBy("k").agg(F.min(order).alias("l")).select("k", F.col("l.sid").alias("v"), F.col("l.c").alias("d"))
+    """Every text of ``buckets(k, sid, c, reach)`` with one leader of each of its buckets, if they are not joined yet.
+
+    The leader is the text that shares its buckets with the most others, the likeliest to stand in the middle of its relatives; in later
+    rounds chance has a say. The order is the same in all buckets, so that a pair which shares many of them comes once.
+    """
+    chance = F.lit(1.0) if draw == 0 else F.pmod(F.xxhash64("sid", F.lit(draw)), F.lit(1000)) / 1000.0
+    order = F.struct((F.col("reach") * chance).alias("w"), F.xxhash64("sid").alias("h"), "sid", "c")
+    lead = buckets.groupBy("k").agg(F.max(order).alias("l")).select("k", F.col("l.sid").alias("v"), F.col("l.c").alias("d"))
     return buckets.join(lead, "k").where("c <> d").select(F.col("sid").alias("u"), "v").distinct()
 
 
@@ -248,27 +260,20 @@ def _rest(texts: DataFrame, sets: DataFrame, config: NearConfig) -> DataFrame:
 
 
 def link_sets(buckets: DataFrame, sets: DataFrame, config: NearConfig) -> DataFrame | None:
-    """``(node, root)`` of ``buckets(k, sid)`` and ``sets(sid, set)``: the components of all links between texts that share a bucket.
+    """``(node, root)`` of ``buckets(k, sid, reach)`` and ``sets(sid, set)``: the components of all links between texts that share a bucket.
 
     Texts meet leaders first, so that a large group of copies costs pairs in proportion to its texts. The texts of buckets that are not
     one part by then are searched exactly by their rarest shingles.
     """
-    links = roots = None
+    links = None
     for r in range(config.rounds + 1):
-        named = _mixed(stage(_named(buckets, roots), "near-named"))
-        if r < config.rounds:
-            pairs = _to_leaders(named, r)
-        else:
-            pairs = _rest(named.select("sid", "c").distinct(), sets, config)
+        named = _mixed(stage(_named(buckets, links), "near-named"))
+        pairs = _to_leaders(named, r) if r < config.rounds else _rest(named.select("sid", "c").distinct(), sets, config)
         pairs = stage(pairs, "near-pairs")
-        if pairs.isEmpty():
-            if r < config.rounds:
-                return roots
-            continue
-        found = _confirmed(pairs, sets, config)
-        links = found if links is None else links.union(found)
-        roots = stage(components(links), "near-roots")
-    return roots
+        if not pairs.isEmpty():
+            found = _confirmed(pairs, sets, config)
+            links = found if links is None else links.union(found)
+    return None if links is None else stage(components(links), "near-roots")
 
 
 def classes(docs: DataFrame, config: NearConfig, id_: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -283,10 +288,12 @@ def classes(docs: DataFrame, config: NearConfig, id_: str, text: str) -> tuple[D
         prints = docs.select(F.col(id_).alias("id"), digest.alias("digest"), sketch(F.col(text), config).alias("s"))
         rows = keep(prints.select("id", "digest", "s.n", "s.sid", "s.bands"), "near-prints")
         stands = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("first")
-        first = stage(rows.where("sid is not null").groupBy("sid").agg(stands), "near-first")
-        dealt = rows.where("sid is not null").select("sid", F.explode("bands").alias("k")).distinct()
-        shared = dealt.groupBy("k").count().where("count > 1").select("k")
-        buckets = stage(dealt.join(shared, "k").select("k", "sid"), "near-buckets")
+        worded = rows.where("sid is not null")
+        first = stage(worded.groupBy("sid").agg(stands), "near-first")
+        dealt = worded.groupBy("sid").agg(F.first("bands").alias("bands")).select("sid", F.explode("bands").alias("k"))
+        shared = dealt.groupBy("k").agg(F.count("*").alias("size")).where("size > 1")
+        met = stage(dealt.join(shared, "k").select("k", "sid", "size"), "near-met")
+        buckets = stage(met.join(met.groupBy("sid").agg(F.sum("size").alias("reach")), "sid").select("k", "sid", "reach"), "near-buckets")
         wanted = first.join(buckets.select("sid").distinct(), "sid").select("sid", "first.id", "first.digest")
         keyed = docs.select(F.col(id_).alias("_id"), digest.alias("_digest"), F.col(text).cast("binary").alias("text"))
         on = keyed["_id"].eqNullSafe(wanted["id"]) & (keyed["_digest"] == wanted["digest"])
