@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.functions import columns as C
+from riskloom.functions.columns import NA_TOKENS, null_tokens
 from riskloom.operators.joins import assert_unique
 from riskloom.operators.ordering import global_ordinal
 from riskloom.operators.schema import PROVENANCE, TYPED_ROLES, assign_roles, normalize_columns, typed_columns
@@ -52,6 +54,33 @@ def union_sources(frames: Mapping[str, DataFrame], order: Sequence[str], drop_or
     return number_sources(out, order, drop_order)
 
 
+def union_files(lines: DataFrame, source: Column | None = None, na_tokens: Sequence[str] = NA_TOKENS) -> DataFrame:
+    """Rows of CSV files given as ``lines(line, _file, _block, _pos)``, numbered like those of :func:`union_sources`.
+
+    The first line of each file is its header. Headers are data: a table says where each file has each column, and fields are taken by that
+    place, so the plan is the same for any number of files; only the distinct headers come to the driver. ``source`` names a row's source by
+    its ``_file`` (the file's name if not given). Fields hold no line breaks. A file of a header alone, or of nothing, has no rows.
+    """
+    path = F.split("_file", "/")
+    name = F.element_at(path, -1) if source is None else source
+    heads = lines.where("_block = 0").groupBy("_file").agg(F.min_by("line", "_pos").alias("header"), F.min("_pos").alias("_head"))
+    heads = stage(heads.withColumn("source_file", name), "headers")
+    variants = heads.groupBy("header").agg(F.min("source_file").alias("first")).orderBy("first", "header").collect()
+    names = {r["header"]: normalize_columns(next(csv.reader([r["header"]], escapechar="\\"))) for r in variants}
+    columns = list(dict.fromkeys(c for each in names.values() for c in each))
+    if not columns:
+        raise ValueError("at least one source is required")
+    width = max(map(len, names.values()))
+    places = [(h, [each.index(c) if c in each else -1 for c in columns]) for h, each in names.items()]
+    table = heads.join(F.broadcast(lines.sparkSession.createDataFrame(places, "header string, _at array<int>")), "header").drop("header")
+    rows = lines.join(table, "_file").where((F.col("_block") > 0) | (F.col("_pos") > F.col("_head")))
+    fields = F.from_csv("line", ", ".join(f"c{i} string" for i in range(width)), {"escape": "\\"})
+    split = rows.withColumn("_fields", F.array(*[fields[f"c{i}"] for i in range(width)]))
+    value = lambda i: F.when(F.get("_at", F.lit(i)) >= 0, F.get("_fields", F.get("_at", F.lit(i))))
+    placed = split.select("source_file", "_file", "_block", "_pos", *[null_tokens(value(i), na_tokens).alias(c) for i, c in enumerate(columns)])
+    return number_sources(placed, ["_file", "_block", "_pos"])
+
+
 def trim_all(df: DataFrame, skip: Sequence[str] = PROVENANCE) -> DataFrame:
     """Strip every text column in one projection."""
     return df.select(*[
@@ -186,12 +215,19 @@ def flagged_transactions(frames: Mapping[str, DataFrame], order: Sequence[str])
     return raw, reject_reasons(coerce_frame(dedupe_exact_keep_first(raw, sources=sorted(frames))))
 
 
+def clean_files(lines: DataFrame, source: Column | None = None) -> CleanResult:
+    """:func:`clean_transactions` over the lines of any number of CSV files, in one plan."""
+    raw = canonicalize(trim_all(stage(union_files(lines, source), "united")))
+    return _cleaned(raw, reject_reasons(coerce_frame(dedupe_exact_keep_first(raw))))
+
+
 def clean_transactions(frames: Mapping[str, DataFrame], order: Sequence[str]) -> CleanResult:
-    """Union, dedupe, type, validate and order raw text sources.
+    """Union, dedupe, type, validate and order raw text sources."""
+    return _cleaned(*flagged_transactions(frames, order))
 
-    The flagged table is staged once because three outputs read it.
-    """
-    raw, flagged = flagged_transactions(frames, order)
+
+def _cleaned(raw: DataFrame, flagged: DataFrame) -> CleanResult:
+    """The flagged table is staged once because three outputs read it."""
     flagged = stage(flagged, "flagged")
     clean, rejected = quarantine(flagged)
     ordered = assign_transaction_order(clean)

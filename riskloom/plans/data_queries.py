@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
 from riskloom.functions import columns as C
 from riskloom.operators import cleaning, features, history, joins, ordering, splits
 from riskloom.plans import adapters as A
-from riskloom.plans.registry import as_text, query, rounded, with_ctes
+from riskloom.plans.registry import ORACLES, as_text, query, rounded, with_ctes
+from riskloom.session import stage_root
 from riskloom.sources import files, sinks
 
 ENTITY = "name_orig"
@@ -286,6 +288,26 @@ def c8(spark, d):
     return out.select("transaction_id", "amount", "step", "is_fraud", "source_file", "transaction_order")
 
 
+def _dirty_lines(spark, d):
+    """The dirty sources as CSV files of a folder each, read back as lines, and the source of a line's file."""
+    base = f"{stage_root(spark)}/riskloom-files/dirty-{uuid.uuid4().hex}"
+    for name, df in A.dirty(spark, d).items():
+        df.orderBy("_line").drop("_line").write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{base}/{name}")
+    return files.read_lines(spark, [f"{base}/a.csv", f"{base}/b.csv"]), F.element_at(F.split("_file", "/"), -2)
+
+
+@query("c8_clean_files", ORACLES["c8_clean_transactions"])
+def c8_files(spark, d):
+    return cleaning.clean_files(*_dirty_lines(spark, d)).clean.select("transaction_id", "amount", "step", "is_fraud", "source_file", "transaction_order")
+
+
+@query("a6_union_files", ORACLES["a6_union_sources"])
+def a6_files(spark, d):
+    """The line number is the whole part of ``step``."""
+    out = cleaning.union_files(*_dirty_lines(spark, d))
+    return out.select("source_file", "source_row_number", "source_file_row_number", F.floor(F.col("step").cast("double")).alias("line"))
+
+
 @query("c9_cleaning_report", with_ctes(A.TYPED) + """
 SELECT (SELECT count(*) FROM raw) AS rows_in, (SELECT string_agg(concat(source_file, '=', CAST(n AS VARCHAR)), ',' ORDER BY source_file) FROM (SELECT source_file, count(*) AS n FROM raw GROUP BY 1)) AS input_row_counts,
        (SELECT count(*) FROM raw) - (SELECT count(*) FROM flagged) AS duplicate_rows_dropped, (SELECT count(*) FROM flagged WHERE len(reasons) > 0) AS invalid_rows_dropped,

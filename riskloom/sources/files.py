@@ -38,6 +38,13 @@ def read_raw_csv(
     return raw.select(*fields)
 
 
+def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Lines of any number of text files, blank ones left out: ``line`` and the columns of FILE_POSITION, in one scan."""
+    lines = spark.read.text(list(path) if not isinstance(path, str) else path)
+    where = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_pos")]
+    return lines.select(F.col("value").alias("line"), *where).where(F.trim("line") != "")
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
