@@ -11,7 +11,7 @@ from riskloom.plans import adapters as A
 from riskloom.plans import data_queries
 from riskloom.plans.registry import ORACLES, query, rounded, with_ctes
 from riskloom.session import stage_root
-from riskloom.sources import files, sinks
+from riskloom.sources import files, sinks, tensors
 
 
 def _folder(spark, name: str) -> str:
@@ -51,8 +51,8 @@ def a8(spark, d):
 @query("a9_write_sequences", ORACLES["f9_sequence_dataset"])
 def a9(spark, d):
     path = _folder(spark, "sequences")
-    files.write_sequences(history.sequence_dataset(A.txn(spark, d)), path)
-    return data_queries.sequence_digest(files.read_table(spark, path))
+    tensors.write_sequences(history.sequence_dataset(A.txn(spark, d)), path)
+    return data_queries.sequence_digest(tensors.read_sequences(spark, path))
 
 
 @query("a10_audit_sink", with_ctes(A.TXN) + """

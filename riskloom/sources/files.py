@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator, Sequence
 from pathlib import PurePosixPath
-from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +13,7 @@ from pyspark.sql import types as T
 
 from riskloom.functions.columns import NA_TOKENS, null_tokens
 from riskloom.session import stage
+from riskloom.sources.places import place, qualified
 
 FILE_POSITION = ("_file", "_block", "_pos")
 
@@ -80,11 +80,6 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 
 
-def write_sequences(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Sequences stay one row per transaction; id, tensor, features, target and meta never part."""
-    df.write.mode(mode).parquet(path)
-
-
 def write_report(report: DataFrame, path: str, mode: str = "overwrite") -> None:
     """JSON lines with the keys in sorted order; reports hold a handful of rows."""
     report.select(*sorted(report.columns)).write.mode(mode).option("ignoreNullFields", False).json(path)
@@ -106,9 +101,7 @@ def file_checksums(spark: SparkSession, folder: str) -> DataFrame:
     Spark's own file scan passes over names with an underscore and over empty files, so folders are listed here, those of one depth by the
     tasks of one job. Files are hashed in chunks where they lie, whatever their size.
     """
-    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString()
-    level, files = spark.createDataFrame([(root,)], "path string"), None
+    level, files = spark.createDataFrame([(qualified(spark, folder),)], "path string"), None
     while True:
         entries = stage(level.repartition(spark.sparkContext.defaultParallelism).mapInPandas(_entries, "path string, size_bytes bigint, is_folder boolean"), "entries")
         here = entries.where(~F.col("is_folder") & ~F.element_at(F.split("path", "/"), -1).startswith(".")).select("path", "size_bytes")
@@ -118,21 +111,12 @@ def file_checksums(spark: SparkSession, folder: str) -> DataFrame:
             return files.repartition(spark.sparkContext.defaultParallelism).mapInPandas(_hash_in_chunks, "path string, size_bytes bigint, sha256 string")
 
 
-def _place(path: str):
-    """File system and path of a qualified path, in which names are as they are, not quoted."""
-    from pyarrow import fs
-
-    if path.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
-    return fs.FileSystem.from_uri(quote(path, safe="/:@"))
-
-
 def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from pyarrow import fs
 
     for batch in batches:
         for path in batch["path"]:
-            system, inner = _place(path)
+            system, inner = place(path)
             found = system.get_file_info(fs.FileSelector(inner))
             rows = [(f"{path.rstrip('/')}/{i.base_name}", i.size if i.is_file else 0, i.type == fs.FileType.Directory) for i in found]
             yield pd.DataFrame(rows, columns=["path", "size_bytes", "is_folder"])
@@ -142,7 +126,7 @@ def _hash_in_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         digests = []
         for path in batch["path"]:
-            system, inner = _place(path)
+            system, inner = place(path)
             digest = hashlib.sha256()
             with system.open_input_stream(inner) as stream:
                 while chunk := stream.read(1 << 20):

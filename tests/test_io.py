@@ -119,10 +119,3 @@ def test_line_breaks_in_quoted_fields(spark, folder):
     pathlib.Path(folder, "a.csv").write_text('transaction_id,note\n1,"two\nlines, ""quoted"""\n2,x\n')
     got = files.read_raw_csv(spark, f"{folder}/a.csv", line_breaks=True).collect()
     assert [tuple(r) for r in got] == [("1", 'two\nlines, "quoted"'), ("2", "x")]
-
-
-def test_sequences_come_back(spark, folder):
-    rows = spark.createDataFrame([("t", [[1.0, 2.0], [3.0, 4.0]], 2)], "current_transaction_id string, x_seq array<array<float>>, sequence_length int")
-    files.write_sequences(rows, f"{folder}/s")
-    back = files.read_table(spark, f"{folder}/s")
-    assert back.schema == rows.schema and back.collect() == rows.collect()
