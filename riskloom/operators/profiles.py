@@ -156,7 +156,8 @@ def as_of_profile(
 
     ``tx_count, avg_amount, std_dev_amount, tx_last_10min, tx_last_hour, last_<carried>,
     <known>_is_new`` (the value was not seen before). ``start`` holds one row ``(<key>, n, mean, m2, in_10min, in_hour, last_ts,
-    last_<carried>)`` for keys that had events before these, and ``seen`` their known values ``(<key>, kind, value)``.
+    last_<carried>)`` for keys that had events before these, and ``seen`` their known values ``(<key>, kind, value)``. ``order`` must be
+    total within a key, as in :func:`riskloom.operators.skew.over_history`.
     """
     names = events.columns
     if start is not None:

@@ -119,7 +119,9 @@ def over_history(
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add the window columns of ``steps``; frames may reach back at most ``depth`` rows
-    (or ``depth`` non-blank values of ``sparse``)."""
+    (or ``depth`` non-blank values of ``sparse``).
+
+    ``order`` must be total within a key: rows that tie in all of it have no defined order on either route. Callers with ties add an id to it."""
     keys, rows = hot_keys(df, key, hot_rows)
     if keys is None:
         return _apply(df, [key], order, steps)
