@@ -1,7 +1,9 @@
 import hashlib
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from riskloom.llm import secret_scan as S
 from tests.llm.conftest import ODD
@@ -58,3 +60,13 @@ def test_lengths_in_the_pattern_change_nothing(pattern):
     base, least = ("[0-9a-f]+", 16) if pattern == S.HEX else ("AKIA[A-Z0-9]+", 18)
     for text in filter(None, TEXTS):
         assert [m.span() for m in re.finditer(pattern, text)] == [m.span() for m in re.finditer(base, text) if len(m[0]) >= least]
+
+
+def test_any_number_of_matches_in_a_text(spark):
+    """Places of 1 to 30,000 matches, as a plain scan finds them; the time grows with the matches."""
+    texts = [" é".join(hashlib.sha256(b"%d" % i).hexdigest()[: 16 + i % 40] for i in range(n)) + tail for n in (1, 2, 3, 4, 5, 16, 17, 1000, 30_000) for tail in ("", " token: abcdefghijklmnop=")]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(4)
+    started = time.time()
+    got = {r.id: [(s.start, s.stop) for s in r.spans if s.kind == 2] for r in rows.select("id", S.spans_of(F.col("text")).alias("spans")).collect()}
+    assert time.time() - started < 60
+    assert got == {i: [m.span() for m in re.finditer("[0-9a-f]{16,}", t)] for i, t in enumerate(texts)}
