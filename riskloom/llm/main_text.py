@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -35,6 +36,11 @@ NAMES = re.compile(
     r"^(ads?|adverts?|advertise\w*|adsense|banner|breadcrumbs?|comments?|commentlist|respond|reply|replies|cookies?|consent|gdpr|disclaimer|footer|header|masthead|menu|"
     r"modal|nav|navbar|navigation|newsletter|notices?|notification|pagination|pager|popup|promo|promoted|related|recommended|share|sharing|sidebar|sidenav|social|sponsor|sponsored|subscribe|teaser|toolbar|widget)$"
 )
+#: Of these, the names of what readers write. All other names also stand in class names of the layout ("no-sidebar", "sticky-header"),
+#: so an element that has one and holds most of the page's text keeps it.
+READERS = re.compile(r"^(comments?|commentlist|respond|reply|replies)$")
+#: A class that begins with one of these tells a state of the page, not what the element is.
+STATES = frozenset("has is no not with without".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -51,6 +57,8 @@ class BlockRules:
     stops_high: float = 0.30
     #: Share of the characters that stand in links; above it a block is a menu.
     links: float = 0.5
+    #: An element with a layout name that holds this share of the page's stop words is the page's wrapper and keeps its text.
+    wrapper: float = 0.75
 
 
 @dataclass
@@ -59,13 +67,17 @@ class Block:
     linked: int = 0
     out: bool = False
     main: bool = False
+    #: Numbers of the open elements that are out by a class or id only.
+    named: tuple[int, ...] = ()
     listed: bool = False
     text: str = ""
     label: str = ""
+    prose: bool = False
 
 
+@lru_cache(4096)
 def _outside(tag: str, attributes: str, in_main: bool) -> bool:
-    """Whether an element holds menus, notices and the like by its name or its attributes."""
+    """Whether an element holds menus, notices and the like by what it is, its role, or because it is hidden."""
     if tag in OUT or tag == "header" and not in_main:
         return True
     if not attributes or tag in ("html", "body", "main"):
@@ -76,18 +88,33 @@ def _outside(tag: str, attributes: str, in_main: bool) -> bool:
             return True
         if name == "role" and value.lower() in ROLES:
             return True
-        if name in ("class", "id"):
-            for w in _WORDS.findall(value):
-                w = w.lower()
-                if NAMES.match(w) and not (in_main and w == "header"):
-                    return True
     return False
 
 
-def blocks_of(page: str) -> list[Block]:
-    """Blocks of text in page order; an open element at the end of a page that was cut off counts as closed there."""
+@lru_cache(4096)
+def _named(tag: str, attributes: str, in_main: bool) -> str:
+    """``readers`` or ``layout`` where a class or id names a part that is no main text, else nothing."""
+    if not attributes or tag in ("html", "body", "main"):
+        return ""
+    values = [m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes) if m[1].lower() in ("class", "id")]
+    split = [[w.lower() for w in _WORDS.findall(one)] for value in values for one in value.split()]
+    words = [w for one in split if one and one[0] not in STATES for w in one if NAMES.match(w) and not (in_main and w == "header")]
+    return "" if not words else "readers" if any(READERS.match(w) for w in words) else "layout"
+
+
+@dataclass
+class Part:
+    """An element that a class or id names; ``holds`` if an article or a main heading begins in it."""
+
+    kind: str
+    holds: bool
+
+
+def blocks_of(page: str) -> tuple[list[Block], list[Part]]:
+    """Blocks of text in page order, and the named elements they stand in; an open element at the end of a page that was cut off counts as closed there."""
     done: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, out, main
+    parts: list[Part] = []
+    stack: list[tuple[str, bool, bool, tuple[int, ...]]] = []  # tag, out, main, named
     links = 0
     now = Block()
     breaks = 0
@@ -98,8 +125,8 @@ def blocks_of(page: str) -> list[Block]:
         if text:
             now.text = text
             done.append(now)
-        out, main = stack[-1][1:] if stack else (False, False)
-        now = Block(out=out, main=main, listed=any(t == "li" for t, _, _ in stack))
+        out, main, named = stack[-1][1:] if stack else (False, False, ())
+        now = Block(out=out, main=main, named=named, listed=any(t == "li" for t, *_ in stack))
 
     at, end = 0, len(page)
     while at < end:
@@ -122,8 +149,8 @@ def blocks_of(page: str) -> list[Block]:
         if m[1]:
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == tag:
-                    inline = all(t in INLINE for t, _, _ in stack[depth:])
-                    links -= sum(t == "a" for t, _, _ in stack[depth:])
+                    inline = all(t in INLINE for t, *_ in stack[depth:])
+                    links -= sum(t == "a" for t, *_ in stack[depth:])
                     shut = not inline or stack[depth][1] != (depth > 0 and stack[depth - 1][1])
                     del stack[depth:]
                     if shut:
@@ -140,7 +167,7 @@ def blocks_of(page: str) -> list[Block]:
             if tag == "hr":
                 close()
             continue
-        out, main = stack[-1][1:] if stack else (False, False)
+        out, main, named = stack[-1][1:] if stack else (False, False, ())
         if tag in RAW:
             # Its content is skipped whole; other inline text goes on around it.
             stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
@@ -151,36 +178,71 @@ def blocks_of(page: str) -> list[Block]:
             # A block ends an open paragraph, with what is open in it.
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == "p":
-                    links -= sum(t == "a" for t, _, _ in stack[depth:])
+                    links -= sum(t == "a" for t, *_ in stack[depth:])
                     del stack[depth:]
                     break
                 if stack[depth][0] not in INLINE:
                     break
-            out, main = stack[-1][1:] if stack else (False, False)
+            out, main, named = stack[-1][1:] if stack else (False, False, ())
         if inline:
             # Text of an inline element that is out belongs to no block.
-            if not out and _outside(tag, m[3], main):
+            if not out and (_outside(tag, m[3], main) or _named(tag, m[3], main)):
                 close()
-                stack.append((tag, True, main))
+                stack.append((tag, True, main, named))
+                links += tag == "a"
                 now.out = True
                 continue
         else:
             out = out or _outside(tag, m[3], main)
+            if kind := "" if out else _named(tag, m[3], main):
+                named = *named, len(parts)
+                parts.append(Part(kind, False))
+            if tag in ("article", "main", "h1"):
+                for i in named:
+                    parts[i].holds = True
             main = main or tag in ("article", "main") or 'role="main"' in m[3]
-        stack.append((tag, out, main))
+        stack.append((tag, out, main, named))
         links += tag == "a"
         if not inline:
             close()
     close()
-    return done
+    return done, parts
+
+
+def _stops(text: str) -> tuple[int, int]:
+    """Stop words and words."""
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words), len(words)
+
+
+def settle_names(blocks: list[Block], parts: list[Part], rules: BlockRules) -> None:
+    """Blocks in a named element are out, unless the name is one of layout and the element wraps the page.
+
+    It does if it holds most stop words of all blocks that are not out by themselves nor written by readers, and
+    an article, a main heading or three blocks of prose.
+    """
+    if not parts:
+        return
+    mass, prose, total = [0] * len(parts), [0] * len(parts), 0
+    for b in blocks:
+        if b.out or any(parts[i].kind == "readers" for i in b.named):
+            continue
+        stops, words = _stops(b.text)
+        total += stops
+        for i in b.named:
+            mass[i] += stops
+            prose[i] += len(b.text) >= rules.short and stops >= rules.stops_high * words
+    wraps = [p.kind == "layout" and m > rules.wrapper * total and (p.holds or n >= 3) for p, m, n in zip(parts, mass, prose, strict=True)]
+    for b in blocks:
+        b.out = b.out or not all(wraps[i] for i in b.named)
 
 
 def classify(blocks: list[Block], rules: BlockRules) -> None:
     """Labels ``good`` or ``bad``. Blocks of the page's article are judged against the article, others by the rules alone."""
     has_main = any(b.main and not b.out for b in blocks)
     for b in blocks:
-        size, words = len(b.text), b.text.lower().split()
-        stops = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / max(1, len(words))
+        size, (n, words) = len(b.text), _stops(b.text)
+        stops = n / max(1, words)
         density = b.linked / max(size, 1)
         if b.out or has_main and not b.main:
             b.label = "bad"
@@ -194,6 +256,11 @@ def classify(blocks: list[Block], rules: BlockRules) -> None:
             b.label = "near"
         else:
             b.label = "ambiguous" if b.main else "bad"
+        b.prose = b.label == "near" and stops >= rules.stops_high
+    if not any(b.label == "good" for b in blocks):
+        # A page of short paragraphs: these decide in place of long ones.
+        for b in blocks:
+            b.label = "good" if b.prose else b.label
     # Second pass. What is left takes the label of the nearest decided block; within an article the bounds are its own, so
     # an article of short blocks is kept whole.
     decided = [b.label if b.label in ("good", "bad") else "" for b in blocks]
@@ -227,8 +294,11 @@ def classify(blocks: list[Block], rules: BlockRules) -> None:
 
 
 def main_text(page: str | None, rules: BlockRules | None = None) -> str:
-    blocks = blocks_of(page or "")
-    classify(blocks, rules or BlockRules())
+    """The main text of one page; null, empty and cut pages, and pages without main text, give what can be read of them, or an empty text."""
+    rules = rules or BlockRules()
+    blocks, parts = blocks_of(page or "")
+    settle_names(blocks, parts, rules)
+    classify(blocks, rules)
     return "\n\n".join(b.text for b in blocks if b.label == "good")
 
 

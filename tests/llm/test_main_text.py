@@ -42,3 +42,31 @@ def test_table(spark):
     text = M.main_text(PAGE)
     assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, "u", text, len(text))] * 2 + [(2, None, "", 0), (None, "v", "", 0)], key=str)
     assert M.extract_pages(pages.limit(0)).count() == 0
+
+
+def test_layout_names_keep_the_article():
+    three = "".join(f"<p>{SENTENCE}{SENTENCE[:90]}</p>" for _ in range(3))
+    want = "\n\n".join([f"{SENTENCE}{SENTENCE[:90]}".strip()] * 3)
+    for page in (
+        f'<article class="post no-sidebar">{three}</article>', f'<div class="site has-sidebar">{three}</div>', f'<div id="page" class="sticky-header">{three}</div>',
+        f'<div class="header-fixed"><nav>x</nav><div class="menu-open"><h1></h1>{three}</div><div class="cookie-notice">{SENTENCE}</div></div>',
+    ):
+        assert M.main_text(page) == want, page
+
+
+def test_named_parts_stay_out():
+    three = "".join(f"<p>{SENTENCE}</p>" for _ in range(3))
+    for name in ("comments", "sidebar", "cookie-notice", "related", "newsletter"):
+        assert M.main_text(f'<article><p>{SENTENCE}</p></article><div class="{name}">{three}</div>') == SENTENCE.strip()
+    assert M.main_text(f'<div class="comments"><h1>x</h1>{three}</div>') == ""
+    assert M.main_text(f'<div class="cookie-notice"><p>{SENTENCE}</p></div><nav>Home</nav>') == ""
+
+
+def test_short_paragraphs_without_article():
+    page = f"<div><a href='/'>Home</a> <a href='/b'>All</a></div><h2>Head</h2><p>{SENTENCE}</p><p>Short.</p><p>{SENTENCE}</p><div><a href='/c'>Imprint</a></div>"
+    assert M.main_text(page) == f"{SENTENCE.strip()}\n\nShort.\n\n{SENTENCE.strip()}"
+
+
+def test_links_of_thrown_out_anchors_end_with_them():
+    page = f"<p>{SENTENCE * 2}<a class='share' href='/s'>Share</a></p><p>{SENTENCE * 2}</p>"
+    assert M.main_text(page) == "\n\n".join([" ".join((SENTENCE * 2).split())] * 2)
