@@ -262,7 +262,7 @@ def _scan(index: LeakIndex):
 def _indexes(benchmark: DataFrame, config: LeakConfig) -> Iterator[LeakIndex]:
     """Indexes of at most ``index_bytes`` of test items each, read from the items in the order of their ids.
 
-    The driver holds one index at a time. Weights of a term depend on the items in its own index only.
+    Weights of a term depend on the items in its own index only. A caller that joins the indexes in one plan holds them all.
     """
     items = benchmark.where(F.col("item_id").isNotNull()).select("item_id", "text").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -289,7 +289,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", config: LeakConfig | None = None) -> DataFrame:
-    """Rows of ``docs`` that hold no test item, with the columns they have."""
+    """Rows of ``docs`` that hold no test item, with the columns they have.
+
+    Null and empty texts hold none and stay; repeated rows all stay or all go; without items every row stays. The plan carries all
+    indexes, so its code grows with the benchmark, not with ``docs``.
+    """
     for index in _indexes(benchmark, config or LeakConfig()):
         docs = docs.where(_clean(index)(F.col(text)))
     return docs

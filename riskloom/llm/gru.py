@@ -394,6 +394,8 @@ def fit(texts: DataFrame, vocabulary: Vocabulary, config: LmConfig) -> Network:
     """Network of ``texts(id, text)``, averaged over the replicas after each round, by the tokens that each has seen.
 
     The replicas grow in number with the tokens and are averaged on the executors, piece by piece; the driver holds one network.
+    So the same text has another score in a larger corpus, by the other counts and by the other number of replicas. In a replica the sums
+    of Adagrad and the states begin anew every 400,000 tokens.
     """
     network = Network(vocabulary, config)
     replicas = max(config.replicas, int(-(-vocabulary.total * config.fit_share // (config.rounds * config.replica_tokens))))

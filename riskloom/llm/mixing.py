@@ -150,7 +150,9 @@ def schedule(mixture: Mixture, config: MixConfig | None = None) -> DataFrame:
 def mixed_rows(docs: DataFrame, mixture: Mixture, source: str = "source", text: str = "text", id_: str = "doc_id", config: MixConfig | None = None) -> DataFrame:
     """Rows of ``docs``, each as often as the mixture has it, with the columns they have. No text is shuffled.
 
-    What decides is the source's number of whole epochs and the last digest of its cut epoch: one row for each source.
+    What decides is the source's number of whole epochs and the last digest of its cut epoch: one row for each source. A null source
+    is a source of its own; null and empty texts have no tokens and come as often as their source; repeated rows come each; an
+    empty table gives an empty one.
     """
     config = config or MixConfig()
     cut = mixture.epochs.where(F.col("epoch") >= F.col("whole")).groupBy("key").agg(F.max("order").alias("cut"))

@@ -282,5 +282,8 @@ def scores(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, id_: s
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, text: str = "text") -> DataFrame:
-    """Rows that the classifier does not reject, with the columns they have."""
+    """Rows that the classifier does not reject, with the columns they have.
+
+    Null and empty texts are scored as no words; repeated rows all stay or all go; an empty table stays empty.
+    """
     return docs.where(score(model, F.col(text)) < threshold)
