@@ -105,6 +105,8 @@ def sketch(text: Column, config: NearConfig) -> Column:
         n, sid, bands, held = [], [], [], []
 
         def flush() -> None:
+            if not held:  # the batch ended with the last flush, or is empty
+                return
             bands.extend(band_keys(signatures(held, config.bands * config.rows), config.rows))
             held.clear()
 

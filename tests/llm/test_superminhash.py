@@ -103,3 +103,9 @@ def test_signatures_do_not_depend_on_the_batch(monkeypatch):
     assert (S.signatures(sets, 96) == whole).all()
     # Every rank comes from a permutation: one shingle offers each of its places a rank of its own.
     assert sorted(np.floor(whole[0]).astype(int)) == list(range(96))
+
+
+def test_batches_that_end_with_a_flush(spark):
+    rows = [(i, f"only text of number {i} in here") for i in range(128)]
+    one = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)  # one batch, a multiple of the texts held at once
+    assert [r[3] for r in found(one)] == [True] * 128
