@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from riskloom.functions import columns as C
 from riskloom.functions.columns import NA_TOKENS, null_tokens
 from riskloom.operators.joins import assert_unique
-from riskloom.operators.ordering import global_ordinal
+from riskloom.operators.ordering import global_ordinal, ordinal_within
 from riskloom.operators.schema import PROVENANCE, TYPED_ROLES, assign_roles, normalize_columns, typed_columns
 from riskloom.session import stage
 
@@ -33,11 +33,10 @@ def join_side_table(tx: DataFrame, side: DataFrame, key: str = "transaction_id",
 
 def number_sources(df: DataFrame, order: Sequence[str], drop_order: bool = True) -> DataFrame:
     """Number the rows of each ``source_file`` from 1 in the given order: one range sort for all sources together."""
-    ranked = global_ordinal(df, ["source_file", *order], "_ordinal")
-    starts = ranked.groupBy("source_file").agg((F.min("_ordinal") - 1).alias("_start"))
-    row = F.col("_ordinal") - F.col("_start")
+    ranked = ordinal_within(df, "source_file", order, "_row")
+    row = F.col("_row")
     keep = [c for c in df.columns if c != "source_file" and not (drop_order and c in order)]
-    return ranked.join(starts, "source_file").select(row.alias("source_row_number"), "source_file", row.alias("source_file_row_number"), *keep)
+    return ranked.select(row.alias("source_row_number"), "source_file", row.alias("source_file_row_number"), *keep)
 
 
 def union_sources(frames: Mapping[str, DataFrame], order: Sequence[str], drop_order: bool = True) -> DataFrame:
@@ -72,7 +71,8 @@ def union_files(lines: DataFrame, source: Column | None = None, na_tokens: Seque
         raise ValueError("at least one source is required")
     width = max(map(len, names.values()))
     places = [(h, [each.index(c) if c in each else -1 for c in columns]) for h, each in names.items()]
-    table = heads.join(F.broadcast(lines.sparkSession.createDataFrame(places, "header string, _at array<int>")), "header").drop("header")
+    # Staged: the planner sees the table's size, not the product of the two.
+    table = stage(heads.join(F.broadcast(lines.sparkSession.createDataFrame(places, "header string, _at array<int>")), "header").drop("header"), "places")
     rows = lines.join(table, "_file").where((F.col("_block") > 0) | (F.col("_pos") > F.col("_head")))
     fields = F.from_csv("line", ", ".join(f"c{i} string" for i in range(width)), {"escape": "\\"})
     split = rows.withColumn("_fields", F.array(*[fields[f"c{i}"] for i in range(width)]))

@@ -30,15 +30,33 @@ def global_ordinal(df: DataFrame, order: Sequence[str], out: str = "ordinal") ->
     return _ordinal(df, nulls_last(order), out)
 
 
-def _ordinal(df: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
+def ordinal_within(df: DataFrame, group: str, order: Sequence[str], out: str = "ordinal") -> DataFrame:
+    """Append 1..N in the given order (NULLs last) in each group; rows of a NULL group are left out.
+
+    A group is a run of range partitions. The rows meet the table of these runs by group and partition, so that a group of most rows is
+    shared by as many tasks as it fills; the runs are staged, so the planner knows whether they are few enough to broadcast.
+    """
+    placed = _placed(df, nulls_last([group, *order]))
+    before = W.partitionBy(group).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
+    runs = placed.groupBy(group, "_pid").agg(F.min("_pos").alias("_from"), F.count(F.lit(1)).alias("_rows"))
+    shift = F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_from") + 1
+    runs = stage(runs.select(group, "_pid", shift.alias("_shift")), "runs")
+    return placed.join(runs, [group, "_pid"]).withColumn(out, F.col("_pos") + F.col("_shift")).drop("_mid", "_pid", "_pos", "_shift")
+
+
+def _placed(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     # After the range exchange and the local sort the lower 33 bits of the generated id are the
     # position inside the partition and the upper bits the partition, so one exchange is enough.
-    placed = stage(
+    return stage(
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_mid", F.monotonically_increasing_id()),
         "ordinal",
     ).withColumns({"_pid": F.shiftright("_mid", 33), "_pos": F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))})
+
+
+def _ordinal(df: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
+    placed = _placed(df, order)
     offsets = (
         placed.groupBy("_pid").agg((F.max("_pos") + 1).alias("_rows"))
         .select("_pid", running_before("_rows").alias("_offset"))

@@ -1,8 +1,10 @@
 """Plan shapes: what is shuffled, pushed down and pruned."""
 
+import re
+
 from pyspark.sql import functions as F
 
-from riskloom.operators import history, joins, metrics, thresholds
+from riskloom.operators import cleaning, history, joins, metrics, thresholds
 from riskloom.plans import adapters as A
 from riskloom.sources import sinks
 from tests.conftest import SF
@@ -40,3 +42,14 @@ def test_insert_is_an_anti_join_on_the_key(spark):
 
 def test_metrics_combine_before_the_shuffle(spark):
     assert "partial_avg" in plan(metrics.brier(A.scored(spark, SF)))
+
+
+def test_numbering_deals_no_source_to_one_task(spark):
+    rows = spark.createDataFrame([("a.csv", i) for i in range(300)] + [("b.csv", i) for i in range(40)], "source_file string, line int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = cleaning.number_sources(rows.repartition(7), ["line"], drop_order=False)
+        assert re.search(r"hashpartitioning\(source_file#\d+, _pid#\d+", plan(out)) and not re.search(r"hashpartitioning\(source_file#\d+, \d+\)", plan(out))
+        assert all(r.source_row_number == r.source_file_row_number == r.line + 1 for r in out.collect()) and out.count() == 340
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
