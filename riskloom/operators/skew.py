@@ -20,6 +20,10 @@ from riskloom.operators.ordering import nulls_last
 from riskloom.session import stage
 
 HOT_ROWS = 5_000_000
+#: Segments are not cut smaller than this once there are ``FEW_SEGMENTS``, however low the bound of a hot key: each is a task, and
+#: range bounds, task results and carried rows grow with their number.
+SEGMENT_ROWS = 50_000
+FEW_SEGMENTS = 64
 
 Step = Callable[[list[str], list[Column]], dict[str, Column]]
 
@@ -49,7 +53,7 @@ def segment(df: DataFrame, key: str, order: Sequence[str], segments: int) -> Dat
 
 
 def segments_for(rows: int, hot_rows: int) -> int:
-    return max(2, 2 * rows // max(hot_rows, 1) + 1)
+    return max(2, min(2 * rows // max(hot_rows, 1) + 1, max(FEW_SEGMENTS, rows // SEGMENT_ROWS)))
 
 
 def _last(items: Column, n: int) -> Column:

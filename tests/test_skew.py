@@ -60,3 +60,10 @@ def test_profiles(spark):
     by_time = ["event_time", "transaction_order"]
     same(profiles.as_of_profile(t, order=by_time), profiles.as_of_profile(t, order=by_time, hot_rows=40))
     same(profiles.profile_snapshot(t, order=order), profiles.profile_snapshot(t, order=order, hot_rows=40), "user_id")
+
+
+def test_segments_grow_with_the_rows_not_with_the_bound():
+    from riskloom.operators.skew import segments_for
+
+    assert segments_for(300, 40) == 16 and segments_for(20_000_000, 5_000_000) == 9
+    assert segments_for(36_000_000, 150) == 720 and segments_for(6_000_000, 150) == 120 and segments_for(100_000, 150) == 64
