@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from riskloom.operators import cleaning, history, joins, metrics, thresholds
+from riskloom.operators import cleaning, history, joins, metrics, scoring, thresholds
 from riskloom.plans import adapters as A
 from riskloom.sources import sinks
 from tests.conftest import SF
@@ -53,3 +53,12 @@ def test_numbering_deals_no_source_to_one_task(spark):
         assert all(r.source_row_number == r.source_file_row_number == r.line + 1 for r in out.collect()) and out.count() == 340
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_records_do_not_carry_their_request(spark):
+    text = '{"request_id": "r", "records": [{"transaction_id": "a", "features": {"f": 1.5}}, {"transaction_id": "b"}]}'
+    rows = spark.createDataFrame([(text,), ("{}",), (None,)], "payload string").repartition(2)
+    out = scoring.parse_score_requests(rows, ["f"])
+    assert re.search(r"Generate posexplode\(_records#\d+\), \[request_id#\d+\]", plan(out))
+    got = sorted(out.select("request_id", "record_index", "transaction_id", "f").collect(), key=str)
+    assert [tuple(r) for r in got] == [(None, None, None, None), (None, None, None, None), ("r", 0, "a", 1.5), ("r", 1, "b", None)]
