@@ -61,4 +61,4 @@ def test_records_do_not_carry_their_request(spark):
     out = scoring.parse_score_requests(rows, ["f"])
     assert re.search(r"Generate posexplode\(_records#\d+\), \[request_id#\d+\]", plan(out))
     got = sorted(out.select("request_id", "record_index", "transaction_id", "f").collect(), key=str)
-    assert [tuple(r) for r in got] == [(None, None, None, None), (None, None, None, None), ("r", 0, "a", 1.5), ("r", 1, "b", None)]
+    assert [tuple(r) for r in got] == [("r", 0, "a", 1.5), ("r", 1, "b", None), (None, None, None, None), (None, None, None, None)]
