@@ -15,6 +15,10 @@ from pyspark.sql import Window as W
 from riskloom.session import stage
 
 
+#: Rows of a run that meet it under one key.
+RUN_ROWS = 1 << 16
+
+
 def nulls_last(names: Sequence[str]) -> list[Column]:
     return [F.col(n).asc_nulls_last() for n in names]
 
@@ -33,15 +37,19 @@ def global_ordinal(df: DataFrame, order: Sequence[str], out: str = "ordinal") ->
 def ordinal_within(df: DataFrame, group: str, order: Sequence[str], out: str = "ordinal") -> DataFrame:
     """Append 1..N in the given order (NULLs last) in each group; rows of a NULL group are left out.
 
-    A group is a run of range partitions. The rows meet the table of these runs by group and partition, so that a group of most rows is
-    shared by as many tasks as it fills; the runs are staged, so the planner knows whether they are few enough to broadcast.
+    A group is a run of range partitions. The rows meet the table of these runs by group, partition and block of ``RUN_ROWS`` positions,
+    so that the keys are many and about equal however few groups there are; the runs are staged, so the planner knows whether they are
+    few enough to broadcast.
     """
-    placed = _placed(df, nulls_last([group, *order]))
+    placed = _placed(df, nulls_last([group, *order])).withColumn("_block", F.floor(F.col("_pos") / RUN_ROWS))
     before = W.partitionBy(group).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
     runs = placed.groupBy(group, "_pid").agg(F.min("_pos").alias("_from"), F.count(F.lit(1)).alias("_rows"))
     shift = F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_from") + 1
-    runs = stage(runs.select(group, "_pid", shift.alias("_shift")), "runs")
-    return placed.join(runs, [group, "_pid"]).withColumn(out, F.col("_pos") + F.col("_shift")).drop("_mid", "_pid", "_pos", "_shift")
+    blocks = F.sequence(F.floor(F.col("_from") / RUN_ROWS), F.floor((F.col("_from") + F.col("_rows") - 1) / RUN_ROWS))
+    # Two steps: the window must see a run once.
+    shifted = runs.select(group, "_pid", shift.alias("_shift"), blocks.alias("_blocks"))
+    runs = stage(shifted.select(group, "_pid", "_shift", F.explode("_blocks").alias("_block")), "runs")
+    return placed.join(runs, [group, "_pid", "_block"]).withColumn(out, F.col("_pos") + F.col("_shift")).drop("_mid", "_pid", "_pos", "_block", "_shift")
 
 
 def _placed(df: DataFrame, order: Sequence[Column]) -> DataFrame:

@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from riskloom.operators import cleaning, history, joins, metrics, scoring, thresholds
+from riskloom.operators import cleaning, history, joins, metrics, ordering, scoring, thresholds
 from riskloom.plans import adapters as A
 from riskloom.sources import sinks
 from tests.conftest import SF
@@ -55,6 +55,19 @@ def test_numbering_deals_no_source_to_one_task(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_numbering_shares_a_source_by_blocks(spark, monkeypatch):
+    """However few the runs, the rows meet them under many keys."""
+    monkeypatch.setattr(ordering, "RUN_ROWS", 16)
+    rows = spark.createDataFrame([("a.csv", i) for i in range(1000)] + [("b.csv", i) for i in range(40)] + [("c.csv", 0)], "source_file string, line int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = cleaning.number_sources(rows.repartition(7), ["line"], drop_order=False)
+        assert re.search(r"hashpartitioning\(source_file#\d+, _pid#\d+L?, _block#\d+", plan(out))
+        assert out.count() == 1041 and all(r.source_row_number == r.line + 1 for r in out.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_records_do_not_carry_their_request(spark):
     text = '{"request_id": "r", "records": [{"transaction_id": "a", "features": {"f": 1.5}}, {"transaction_id": "b"}]}'
     rows = spark.createDataFrame([(text,), ("{}",), (None,)], "payload string").repartition(2)
