@@ -17,7 +17,10 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, linked by a Jaccard similarity of 0.8 or more of their 5-word shingles."""
+    """One document of each group stays, linked by a Jaccard similarity of 0.8 or more of their 5-word shingles.
+
+    SimHash fingerprints in the Gray index give the pairs compared first, SuperMinHash bands those that lie further apart.
+    """
     return similar.keep_one_similar(docs)
 
 

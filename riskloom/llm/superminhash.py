@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from riskloom.llm import simhash
 from riskloom.llm.components import components
 from riskloom.session import scratch, stage
 
@@ -261,13 +262,27 @@ def _rest(texts: DataFrame, sets: DataFrame, config: NearConfig) -> DataFrame:
     return x.join(y, "h").where((F.col("uc") != F.col("vc")) & size & share).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def link_sets(buckets: DataFrame, sets: DataFrame, config: NearConfig) -> DataFrame | None:
+def print_pairs(prints: DataFrame, radius: int) -> DataFrame:
+    """``prints(sid, fp)`` -> pairs ``(u, v)`` of texts whose SimHash fingerprints meet in the Gray index within ``radius``.
+
+    Texts of one fingerprint meet the least of them, which stands for the fingerprint in the links of the index; so pairs grow with the
+    texts. A link's ends may be further apart than the radius, if others lie between them.
+    """
+    heads = prints.groupBy("fp").agg(F.min("sid").alias("v"))
+    same = prints.join(heads, "fp").where("sid <> v").select(F.col("sid").alias("u"), "v")
+    far = stage(simhash.link_prints(heads.select("fp"), radius).distinct(), "near-prints-linked")
+    head = lambda name: heads.select(F.col("fp").alias(name), F.col("v").alias(f"{name}_sid"))
+    met = far.join(head("u"), "u").join(head("v"), "v").select(F.greatest("u_sid", "v_sid").alias("u"), F.least("u_sid", "v_sid").alias("v"))
+    return same.union(met).distinct()
+
+
+def link_sets(buckets: DataFrame, sets: DataFrame, config: NearConfig, near: DataFrame | None = None) -> DataFrame | None:
     """``(node, root)`` of ``buckets(k, sid, reach)`` and ``sets(sid, set)``: the components of all links between texts that share a bucket.
 
-    Texts meet leaders first, so that a large group of copies costs pairs in proportion to its texts. The texts of buckets that are not
-    one part by then are searched exactly by their rarest shingles.
+    Those of the pairs ``near(u, v)`` that are links come first. Then texts meet leaders, so that a large group of copies costs pairs in
+    proportion to its texts. The texts of buckets that are not one part by then are searched exactly by their rarest shingles.
     """
-    links = None
+    links = None if near is None or near.isEmpty() else _confirmed(near, sets, config)
     for r in range(config.rounds + 1):
         named = _mixed(stage(_named(buckets, links), "near-named"))
         pairs = _to_leaders(named, r) if r < config.rounds else _rest(named.select("sid", "c").distinct(), sets, config)
@@ -278,17 +293,19 @@ def link_sets(buckets: DataFrame, sets: DataFrame, config: NearConfig) -> DataFr
     return None if links is None else stage(components(links), "near-roots")
 
 
-def classes(docs: DataFrame, config: NearConfig, id_: str, text: str) -> tuple[DataFrame, DataFrame]:
+def classes(docs: DataFrame, config: NearConfig, id_: str, text: str, radius: int | None = None) -> tuple[DataFrame, DataFrame]:
     """``(id, digest, n, sid)`` of each row, and ``(sid, class, id, digest)`` of each set: its part, and the row that stands for it.
 
-    The row of the smallest id stands for a set (nulls last), of several with one id that of the smallest digest of the text. Only
-    texts that share a band with another one are read again. Both tables stay; all others that were staged are deleted.
+    The row of the smallest id stands for a set (nulls last), of several with one id that of the smallest digest of the text. With a
+    ``radius``, texts whose SimHash fingerprints (of the same shingles) lie within it are compared first, and bands find the rest. Only
+    texts that have a pair by fingerprint or share a band are read again. Both tables stay; all others that were staged are deleted.
     """
     spark = docs.sparkSession
     digest = F.xxhash64(F.col(text))
     with scratch(spark) as keep:
-        prints = docs.select(F.col(id_).alias("id"), digest.alias("digest"), sketch(F.col(text), config).alias("s"))
-        rows = keep(prints.select("id", "digest", "s.n", "s.sid", "s.bands"), "near-prints")
+        fp = F.lit(None).cast("long") if radius is None else simhash.fingerprint(F.col(text), config.words)
+        prints = docs.select(F.col(id_).alias("id"), digest.alias("digest"), sketch(F.col(text), config).alias("s"), fp.alias("fp"))
+        rows = keep(prints.select("id", "digest", "s.n", "s.sid", "s.bands", "fp"), "near-prints")
         stands = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("first")
         worded = rows.where("sid is not null")
         first = stage(worded.groupBy("sid").agg(stands), "near-first")
@@ -296,16 +313,20 @@ def classes(docs: DataFrame, config: NearConfig, id_: str, text: str) -> tuple[D
         shared = dealt.groupBy("k").agg(F.count("*").alias("size")).where("size > 1")
         met = stage(dealt.join(shared, "k").select("k", "sid", "size"), "near-met")
         buckets = stage(met.join(met.groupBy("sid").agg(F.sum("size").alias("reach")), "sid").select("k", "sid", "reach"), "near-buckets")
-        wanted = first.join(buckets.select("sid").distinct(), "sid").select("sid", "first.id", "first.digest")
+        asked, near = buckets.select("sid"), None
+        if radius is not None:
+            near = stage(print_pairs(worded.groupBy("sid").agg(F.min("fp").alias("fp")), radius), "near-by-print")
+            asked = asked.union(near.select("u")).union(near.select("v"))
+        wanted = first.join(asked.distinct(), "sid").select("sid", "first.id", "first.digest")
         keyed = docs.select(F.col(id_).alias("_id"), digest.alias("_digest"), F.col(text).cast("binary").alias("text"))
         on = keyed["_id"].eqNullSafe(wanted["id"]) & (keyed["_digest"] == wanted["digest"])
         texts = keyed.join(wanted, on).groupBy("sid").agg(F.first("text").alias("text"))
         sets = stage(texts.select("sid", _as_set(F.col("text"), config.words).alias("set")), "near-sets")
-        roots = link_sets(buckets, sets, config)
+        roots = link_sets(buckets, sets, config, near)
         part = first.withColumn("class", F.col("sid"))
         if roots is not None:
             part = first.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("class", F.coalesce("root", "sid"))
-        return rows.drop("bands"), keep(part.select("sid", "class", "first.id", "first.digest"), "near-classes")
+        return rows.drop("bands", "fp"), keep(part.select("sid", "class", "first.id", "first.digest"), "near-classes")
 
 
 def _as_set(text: Column, words: int) -> Column:

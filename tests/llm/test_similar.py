@@ -1,7 +1,8 @@
 import random
+from dataclasses import replace
 
 import corpus_pipeline as P
-from riskloom.llm import similar
+from riskloom.llm import similar, simhash, superminhash
 from tests.conftest import SF
 from tests.llm.conftest import ODD
 
@@ -50,3 +51,35 @@ def test_odd_rows(docs):
     assert kept.columns == docs(*ODD).columns
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, i) for i in (1, 4, 6, 7, 8)] + [(True, 0)]
     assert similar.keep_one_similar(docs(*ODD).limit(0)).count() == 0
+
+
+def test_fingerprints_bring_pairs(docs, spark):
+    """Near copies within three bits are linked although they share no band."""
+    rng, rows = random.Random(9), []
+    for _ in range(30):
+        text = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        near = list(text)
+        near[rng.randrange(50, 350)] = "x"
+        near[rng.randrange(50, 350)] = "y"
+        rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join(near))]
+    prints = [simhash.fingerprint_of(t.encode(), 5) & (1 << 64) - 1 for _, t in rows]
+    close = [i for i in range(0, len(rows), 2) if 0 < (prints[i] ^ prints[i + 1]).bit_count() <= 3]
+    # One band of all places, which only equal signatures share.
+    config = replace(superminhash.NearConfig(words=5), bands=1, rows=96)
+    alone = superminhash.classes(docs(*rows), config, "doc_id", "text")[1]
+    parts = superminhash.classes(docs(*rows), config, "doc_id", "text", 3)[1]
+    apart = {r.id: bytes(r["class"]) for r in alone.collect()}
+    joined = {r.id: bytes(r["class"]) for r in parts.collect()}
+    assert any(apart[i] != apart[i + 1] for i in close) and all(joined[i] == joined[i + 1] for i in close)
+    assert len(joined) == len(rows) and all(joined[i] != joined[j] for i in joined for j in joined if i // 2 != j // 2)
+
+
+def test_fingerprints_only_propose(docs):
+    """Texts within the radius that share no shingle stay apart."""
+    prints = {simhash.fingerprint_of(f"q{i}".encode(), 5) & (1 << 64) - 1: i for i in range(3000)}
+    order = sorted(prints)
+    radius, x, y = min(((a ^ b).bit_count(), prints[a], prints[b]) for a, b in zip(order, order[1:]))
+    rows = docs((1, f"q{x}"), (2, f"q{y}"), (3, f"q{x}"))
+    codes = rows.where("doc_id < 3").select(simhash.fingerprint(rows["text"], 5).alias("fp"))
+    assert simhash.link_prints(codes, radius).count() > 0
+    assert sorted(r.doc_id for r in similar.keep_one_similar(rows, radius=radius).collect()) == [1, 2]
