@@ -205,7 +205,14 @@ def _named(rows: DataFrame, links: DataFrame | None) -> DataFrame:
     least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("c"))
     for _ in range(2):
         least = both.join(least.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("c").alias("c"))
-    return rows.join(least.withColumnRenamed("u", "sid").withColumnRenamed("c", "q"), "sid", "left").withColumn("c", F.coalesce("q", "sid")).drop("q")
+    return _by_root(rows, least.select(F.col("u").alias("node"), F.col("c").alias("root")))
+
+
+def _by_root(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``rows(sid, ...)`` with ``c``, the text that names their part."""
+    if roots is None:
+        return rows.withColumn("c", F.col("sid"))
+    return rows.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("c", F.coalesce("root", "sid")).drop("root")
 
 
 def _to_leaders(buckets: DataFrame, draw: int) -> DataFrame:
@@ -283,14 +290,21 @@ def link_sets(buckets: DataFrame, sets: DataFrame, config: NearConfig, near: Dat
     proportion to its texts. The texts of buckets that are not one part by then are searched exactly by their rarest shingles.
     """
     links = None if near is None or near.isEmpty() else _confirmed(near, sets, config)
-    for r in range(config.rounds + 1):
-        named = _mixed(stage(_named(buckets, links), "near-named"))
-        pairs = _to_leaders(named, r) if r < config.rounds else _rest(named.select("sid", "c").distinct(), sets, config)
-        pairs = stage(pairs, "near-pairs")
+    for r in range(config.rounds):
+        pairs = stage(_to_leaders(_mixed(stage(_named(buckets, links), "near-named")), r), "near-pairs")
         if not pairs.isEmpty():
             found = _confirmed(pairs, sets, config)
             links = found if links is None else links.union(found)
-    return None if links is None else stage(components(links), "near-roots")
+    # The exact search needs the whole parts: texts of one part under two names would meet each other, and their pairs grow with their square.
+    roots = None if links is None else stage(components(links), "near-roots")
+    named = _mixed(stage(_by_root(buckets, roots), "near-named"))
+    pairs = stage(_rest(named.select("sid", "c").distinct(), sets, config), "near-pairs")
+    if pairs.isEmpty():
+        return roots
+    found = _confirmed(pairs, sets, config)
+    if roots is not None:
+        found = found.union(roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
+    return stage(components(found), "near-roots")
 
 
 def classes(docs: DataFrame, config: NearConfig, id_: str, text: str, radius: int | None = None) -> tuple[DataFrame, DataFrame]:

@@ -109,3 +109,15 @@ def test_batches_that_end_with_a_flush(spark):
     rows = [(i, f"only text of number {i} in here") for i in range(128)]
     one = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)  # one batch, a multiple of the texts held at once
     assert [r[3] for r in found(one)] == [True] * 128
+
+
+def test_exact_search_knows_whole_parts(spark, monkeypatch):
+    """A chain of links is one part, however long: its texts do not meet each other once more."""
+    sets = [(bytes([i]), np.arange(5 * i, 5 * i + 100, dtype=np.uint64).tobytes()) for i in range(12)]
+    near = spark.createDataFrame([(bytes([i + 1]), bytes([i])) for i in range(11)], "u binary, v binary")
+    buckets = spark.createDataFrame([(1, sid, 12) for sid, _ in sets], "k long, sid binary, reach long")
+    searched, rest = [], S._rest
+    monkeypatch.setattr(S, "_rest", lambda texts, *more: searched.append(texts.count()) or rest(texts, *more))
+    roots = S.link_sets(buckets, spark.createDataFrame(sets, "sid binary, set binary"), S.NearConfig(rounds=0), near)
+    assert searched == [0]
+    assert sorted((bytes(r.node), bytes(r.root)) for r in roots.collect()) == [(sid, bytes([0])) for sid, _ in sets]
